@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, simhash
+from lodestar.llm import decontaminate, simhash, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_suffix_dedup": suffix_dedup.ORACLE,
 }

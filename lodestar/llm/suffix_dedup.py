@@ -127,6 +127,19 @@ def longest_previous_factor(data: np.ndarray, at: np.ndarray, owner: np.ndarray,
     return out
 
 
+def _repeated(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The indices of the positions whose string of that length may occur at another one (those of unique hash can't)."""
+    words = _words64(np.concatenate((data, np.zeros(16, np.uint8))))
+    hashes = np.zeros(len(at), np.uint64)
+    for s in [*range(0, length - 7, 8), length - 8] if length >= 8 else []:
+        hashes ^= hashes >> np.uint64(31)
+        hashes += words[at + s]
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    return np.sort(order[np.append(same, False) | np.append(False, same)])
+
+
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each range, one after the other."""
     ends = np.cumsum(sizes)
@@ -165,6 +178,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     doc_id counts as greater than any other.  Extra columns are ignored.
     """
     n = chunk_count(docs)
+    n_groups = 4 * n  # of strings; they are about as many bytes as the text itself, and sorting needs many times that
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = base.withColumn("owner", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     base = base.withColumn("print", F.xxhash64("text")).withColumn("chunk", chunk_of("owner", n))
@@ -221,10 +235,10 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         begin = first - offsets[doc]
         end = last - offsets[doc] + length
         if late.any():
-            rows.append([chunk % n, chunk, owner[late].tobytes(), prints[doc[late]].tobytes(), begin[late].tobytes(), end[late].tobytes(), b"", b""])
+            rows.append([(4 * chunk) % n_groups, chunk, owner[late].tobytes(), prints[doc[late]].tobytes(), begin[late].tobytes(), end[late].tobytes(), b"", b""])
         go = np.flatnonzero(~late)
         go = go[np.argsort(hash_[go], kind="stable")]
-        edges = bucket_edges(hash_[go], n)
+        edges = bucket_edges(hash_[go], n_groups)
         for b in np.flatnonzero(np.diff(edges)):
             part = go[edges[b] : edges[b + 1]]
             sizes = (end - begin)[part]
@@ -257,7 +271,9 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
             windows = sizes - length + 1
             at = _ranges(starts, windows)
             text = np.repeat(np.arange(len(one)), windows)
-            hit = longest_previous_factor(data, at, smallest[text], length, length) >= length
+            again = _repeated(data, at, length)
+            hit = np.zeros(len(at), bool)
+            hit[again] = longest_previous_factor(data, at[again], smallest[text[again]], length, length) >= length
             # Runs of hit strings in each text, given to every holder that isn't removed as a whole.
             step = np.flatnonzero(hit)
             new = np.ones(len(step), bool)

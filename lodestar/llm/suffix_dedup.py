@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +63,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         start = cut + a
         doc = np.searchsorted(offsets, start, side="right") - 1
         whole = stop - 1 + length <= offsets[doc + 1]
-        parts.append((start[whole], stop[whole] - 1, doc[whole], low[cut][whole]))
+        # Smallest values crowd at the low end; an odd factor spreads them over the range again, one to one.
+        spread = (low[cut][whole] * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << HASH_BITS) - 1)
+        parts.append((start[whole], stop[whole] - 1, doc[whole], spread))
     if not parts:
         return (*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -155,7 +156,17 @@ def _firsts(texts: list[bytes], owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids, smallest
 
 
-_SPANS = pa.schema([("chunk", pa.int32()), ("owner", pa.binary()), ("print", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_SPANS = pa.schema([("chunk", pa.int32()), ("number", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("owner", pa.binary()), ("number", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("bytes", pa.binary())])
+
+
+def _numbers(owners: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Numbers the documents of a chunk by id and text, the same way whatever order its rows come in."""
+    order = np.lexsort((prints, owners))
+    new = np.append(False, (owners[order][1:] != owners[order][:-1]) | (prints[order][1:] != prints[order][:-1]))[: len(order)]
+    out = np.empty(len(order), np.int32)
+    out[order] = np.cumsum(new)
+    return out
 
 
 def _grouped(chunk: np.ndarray, *columns: np.ndarray) -> list[list]:
@@ -206,13 +217,12 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         rows = _grouped(chunk[shared], hashes[shared])
         return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "hashes"])
 
-    out_fields = ["bucket", "chunk", "owner", "print", "first", "last", "size", "bytes"]
-
     def strings(table: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], pa.int32())] * 2 + [pa.array([], pa.binary())] * 6, out_fields)
+        empty = _SENT.empty_table()
         if not table.num_rows:
             return empty
         data, offsets, owners, prints = held(table)
+        numbers = _numbers(owners, prints)
         first, last, doc, hash_ = anchors(data, offsets, length)
         wanted = [np.frombuffer(x, np.uint64) for x in answers.column("hashes").to_pylist()]
         order = np.lexsort((doc, hash_))
@@ -232,32 +242,35 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         late = owner > smallest[ids]  # all its strings are in a smaller document of this chunk
         rows = []
         chunk = table.column("chunk")[0].as_py()
-        begin = first - offsets[doc]
-        end = last - offsets[doc] + length
+        begin = (first - offsets[doc]).astype(np.int32)
+        end = (last - offsets[doc] + length).astype(np.int32)
+        number = numbers[doc]
         if late.any():
-            rows.append([(4 * chunk) % n_groups, chunk, owner[late].tobytes(), prints[doc[late]].tobytes(), begin[late].tobytes(), end[late].tobytes(), b"", b""])
+            rows.append([(4 * chunk) % n_groups, chunk, b"", number[late].tobytes(), begin[late].tobytes(), end[late].tobytes(), b""])
         go = np.flatnonzero(~late)
         go = go[np.argsort(hash_[go], kind="stable")]
         edges = bucket_edges(hash_[go], n_groups)
+        packer = zstandard.ZstdCompressor(level=1)
         for b in np.flatnonzero(np.diff(edges)):
             part = go[edges[b] : edges[b + 1]]
-            sizes = (end - begin)[part]
-            rows.append([int(b), chunk, owner[part].tobytes(), prints[doc[part]].tobytes(), begin[part].tobytes(), end[part].tobytes(), sizes.tobytes(), b"".join(texts[i] for i in part.tolist())])
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 6
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], out_fields)
+            joined = packer.compress(b"".join(texts[i] for i in part.tolist()))
+            rows.append([int(b), chunk, owner[part].tobytes(), number[part].tobytes(), begin[part].tobytes(), end[part].tobytes(), joined])
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
 
     def factors(table: pa.Table) -> pa.Table:
         passed, parts = [], []
         for r in table.to_pylist():
-            if r["size"]:
+            if r["owner"]:
                 parts.append(r)
             else:
-                passed.append([r["chunk"], r["owner"], r["print"], r["first"], r["last"]])
+                passed.append([r["chunk"], r["number"], r["first"], r["last"]])
         if parts:
-            number = lambda name: np.concatenate([np.frombuffer(r[name], np.int64) for r in parts])
-            owner, print_, begin, size = (number(x) for x in ("owner", "print", "first", "size"))
-            chunk = np.repeat([r["chunk"] for r in parts], [len(r["owner"]) // 8 for r in parts])
-            raw = b"".join(r["bytes"] for r in parts)
+            column = lambda name, kind=np.int32: np.concatenate([np.frombuffer(r[name], kind) for r in parts])
+            owner, number, begin = column("owner", np.int64), column("number"), column("first")
+            size = (column("last") - begin).astype(np.int64)
+            chunk = np.repeat([r["chunk"] for r in parts], [len(r["number"]) // 4 for r in parts])
+            unpacker = zstandard.ZstdDecompressor()
+            raw = b"".join(unpacker.decompress(r["bytes"]) for r in parts)
             stops = np.cumsum(size)
             texts = [raw[a:b] for a, b in zip((stops - size).tolist(), stops.tolist(), strict=True)]
             ids, smallest = _firsts(texts, owner)
@@ -290,23 +303,19 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
             holder = np.repeat(rest, counts)
             all_of = np.flatnonzero(whole)
             holders = np.concatenate((all_of, holder))
-            lo = np.concatenate((begin[all_of], begin[holder] + run_from[pick]))
-            hi = np.concatenate((begin[all_of] + size[all_of], begin[holder] + run_to[pick]))
-            passed += _grouped(chunk[holders], owner[holders], print_[holders], lo, hi)
+            lo = np.concatenate((begin[all_of], begin[holder] + run_from[pick])).astype(np.int32)
+            hi = np.concatenate((begin[all_of] + size[all_of], begin[holder] + run_to[pick])).astype(np.int32)
+            passed += _grouped(chunk[holders], number[holders], lo, hi)
         return pa.Table.from_arrays([pa.array([r[i] for r in passed], f.type) for i, f in enumerate(_SPANS)], schema=_SPANS)
 
     def finish(table: pa.Table, spans: pa.Table) -> pa.Table:
         ids, texts, hit = table.column("doc_id").to_pylist(), table.column("text").to_pylist(), []
-        number = lambda name: np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in spans.column(name).to_pylist())])
-        owner, print_, lo, hi = (number(x) for x in ("owner", "print", "first", "last"))
-        order = np.lexsort((lo, print_, owner))
-        owner, print_, lo, hi = owner[order], print_[order], lo[order], hi[order]
-        index: dict[tuple[int, int], tuple[int, int]] = {}
-        if len(owner):
-            new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (print_[1:] != print_[:-1])))
-            index = {(int(owner[a]), int(print_[a])): (a, b) for a, b in zip(new, np.append(new[1:], len(owner)), strict=True)}
-        for key in zip(table.column("owner").to_pylist(), table.column("print").to_pylist(), strict=True):
-            a, b = index.get(key, (0, 0))
+        column = lambda name: np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(x, np.int32) for x in spans.column(name).to_pylist())])
+        number, lo, hi = (column(x) for x in ("number", "first", "last"))
+        order = np.lexsort((lo, number))
+        number, lo, hi = number[order], lo[order], hi[order]
+        own = _numbers(table.column("owner").to_numpy(), table.column("print").to_numpy())
+        for a, b in zip(np.searchsorted(number, own), np.searchsorted(number, own, "right"), strict=True):
             reach = np.maximum.accumulate(hi[a:b])
             new = np.flatnonzero(np.append(True, lo[a + 1 : b] > reach[:-1])) if b > a else np.zeros(0, np.int64)
             stops = reach[np.append(new[1:], b - a) - 1] if b > a else new
@@ -317,8 +326,8 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     asked = base.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(answer, "chunk int, hashes binary")
     grouped = base.groupBy("chunk")
-    sent = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(strings, "bucket int, chunk int, owner binary, print binary, first binary, last binary, size binary, bytes binary")
-    spans = sent.groupBy("bucket").applyInArrow(factors, "chunk int, owner binary, print binary, first binary, last binary")
+    sent = grouped.cogroup(answers.groupBy("chunk")).applyInArrow(strings, "bucket int, chunk int, owner binary, number binary, first binary, last binary, bytes binary")
+    spans = sent.groupBy("bucket").applyInArrow(factors, "chunk int, number binary, first binary, last binary")
     return grouped.cogroup(spans.groupBy("chunk")).applyInArrow(finish, "doc_id long, text string, removed array<struct<from: long, to: long>>")
 
 

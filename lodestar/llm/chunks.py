@@ -21,7 +21,7 @@ HASH_BITS = 48
 def chunk_count(docs: DataFrame, column: str = "text", chunk_bytes: int = CHUNK_BYTES) -> int:
     """Chunks for all the text of docs; a few for each shuffle partition at least, so that partitions are even."""
     total = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-    return max(int(total // chunk_bytes) + 1, 4 * shuffle_partitions(docs.sparkSession))
+    return max(int(total // chunk_bytes) + 1, 2 * shuffle_partitions(docs.sparkSession))
 
 
 def chunk_of(key: str, n: int) -> Column:

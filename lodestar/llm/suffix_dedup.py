@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.chunks import HASH_BITS, bucket_edges, chunk_count, chunk_of, pack, unpack
+from lodestar.llm.chunks import CHUNK_BYTES, HASH_BITS, bucket_edges, chunk_count, chunk_of, pack, unpack
 from lodestar.llm.shared import load
 
 #: Length of the strings whose hashes pick anchors; at most the shortest match.
@@ -189,7 +189,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     doc_id counts as greater than any other.  Extra columns are ignored.
     """
     n = chunk_count(docs)
-    n_groups = 4 * n  # of strings; they are about as many bytes as the text itself, and sorting needs many times that
+    n_groups = chunk_count(docs, chunk_bytes=CHUNK_BYTES // 4)  # of strings: as many bytes as the text, and sorting needs many times that
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = base.withColumn("owner", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     base = base.withColumn("print", F.xxhash64("text")).withColumn("chunk", chunk_of("owner", n))
@@ -246,7 +246,7 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
         end = (last - offsets[doc] + length).astype(np.int32)
         number = numbers[doc]
         if late.any():
-            rows.append([(4 * chunk) % n_groups, chunk, b"", number[late].tobytes(), begin[late].tobytes(), end[late].tobytes(), b""])
+            rows.append([chunk * n_groups // n, chunk, b"", number[late].tobytes(), begin[late].tobytes(), end[late].tobytes(), b""])
         go = np.flatnonzero(~late)
         go = go[np.argsort(hash_[go], kind="stable")]
         edges = bucket_edges(hash_[go], n_groups)

@@ -58,7 +58,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         inner = offsets[(offsets > a) & (offsets < b)]
         ends = offsets[1:] - length + 1
         ends = ends[(ends > a) & (ends < b)]
-        cut = np.unique(np.concatenate(([0], np.flatnonzero(low[1:] != low[:-1]) + 1, inner - a, ends - a)))
+        # An equal hash that enters at the right starts a run as well: else text that repeats itself is one long run.
+        new = (low[1:] != low[:-1]) | (h[reach:] == low[1:])
+        cut = np.unique(np.concatenate(([0], np.flatnonzero(new) + 1, inner - a, ends - a)))
         stop = np.append(cut[1:], b - a) + a
         start = cut + a
         doc = np.searchsorted(offsets, start, side="right") - 1

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, simhash, suffix_dedup
+from lodestar.llm import decontaminate, langid, maxscore, mixing, simhash, suffix_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op7_maxscore": maxscore.op7_maxscore,
+    "op8_langid": langid.op8_langid,
     "op9_simhash": simhash.op9_simhash,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_suffix_dedup": suffix_dedup.ORACLE,
+    "op7_maxscore": maxscore.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }

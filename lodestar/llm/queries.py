@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, langid, maxscore, mixing, simhash, suffix_dedup
+from lodestar.llm import decontaminate, langid, maxscore, mixing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op4_quality": quality.op4_quality,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_maxscore": maxscore.op7_maxscore,
     "op8_langid": langid.op8_langid,
     "op9_simhash": simhash.op9_simhash,

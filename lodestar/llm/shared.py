@@ -84,3 +84,23 @@ def components(links: DataFrame) -> DataFrame:
         below = steps.pop()
         out = below.join(out.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     return out
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_grade: int, most_grades: int = 32) -> DataFrame:
+    """(grade, text) of at most per_grade rows of each grade of labels[label], joined to docs by doc_id; written once.
+
+    Rows are taken by their id's hash, so a sample is the same every time.  It has per_grade * most_grades
+    rows at most, which is why it may be broadcast.
+    """
+    known = labels.select("doc_id", F.col(label).alias("grade")).where("doc_id is not null and grade is not null")
+    grades = [r[0] for r in known.groupBy("grade").count().orderBy("grade").limit(most_grades + 1).collect()]
+    if len(grades) > most_grades:
+        raise ValueError(f"over {most_grades} grades")
+    if not grades:
+        return docs.sparkSession.createDataFrame([], "grade double, text string")
+    picked = None
+    for grade in grades:
+        part = known.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id")).limit(per_grade)
+        picked = part if picked is None else picked.unionByName(part)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return stored(found.select(F.col("grade").cast("double").alias("grade"), "text"))

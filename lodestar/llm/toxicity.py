@@ -211,7 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_grade: i
 
     rows = sample.mapInArrow(compare, "grade double, values binary").toArrow().sort_by([("grade", "ascending"), ("values", "ascending")])
     values = np.array([np.frombuffer(x, np.float32) for x in rows.column("values").to_pylist()], np.float64).reshape(rows.num_rows, landmarks.shape[1])
-    return Machine(landmarks, *fit(values, rows.column("grade").to_numpy(), landmarks))
+    grade = rows.column("grade").to_numpy()
+    weights, bias, slope, offset = fit(values, grade, landmarks)
+    # The sample has the labels in equal numbers; scores are to be probabilities among all labelled rows.
+    known = labels.where(F.col(label).isNotNull()).agg(F.sum((F.col(label) > 0).cast("long")).alias("on"), F.count("*").alias("n")).first()
+    odds = lambda on, n: np.log((on + 1) / (n - on + 1))
+    offset += odds(known["on"] or 0, known["n"]) - odds(int((grade > 0).sum()), len(grade))
+    return Machine(landmarks, weights, bias, slope, float(offset))
 
 
 def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:

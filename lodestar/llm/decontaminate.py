@@ -73,28 +73,30 @@ def occurrences(docs: DataFrame, shingles: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         for batch in batches:
-            data, offsets = tk.utf8(batch.column(1))
-            w = tk.words(data, offsets, tk.NON_WORD)
-            ats, kinds = [], []
-            for width in widths:
-                run_at = tk.windows(w.first, width)
-                place = tk.chain(w.hash, width)[run_at] >> np.uint64(64 - FILTER_BITS)
-                place = place.astype(np.int64)
-                run_at = run_at[(packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
-                ats.append(run_at)
-                kinds.append(np.full(len(run_at), width, np.int32))
-            at = np.concatenate(ats) if ats else np.zeros(0, np.int64)
-            kind = np.concatenate(kinds) if kinds else np.zeros(0, np.int32)
-            order = np.argsort(at, kind="stable")
-            at, kind = at[order], kind[order]
-            owner = w.doc[at]
-            lists = np.searchsorted(owner, np.arange(w.n_docs + 1)).astype(np.int32)
-            hits = pa.StructArray.from_arrays(
-                [pa.array(at - w.first[owner]), pa.array(kind), pa.array(_shingle_texts(data, w, at, kind), pa.string())], ["at", "width", "shingle"]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(lists), hits)], ["doc_id", "n_words", "hits"]
-            )
+            whole, bounds = tk.utf8(batch.column(1))
+            for x, y in tk.document_blocks(bounds):
+                data, offsets = whole[bounds[x] : bounds[y]], bounds[x : y + 1] - bounds[x]
+                w = tk.words(data, offsets, tk.NON_WORD)
+                ats, kinds = [], []
+                for width in widths:
+                    run_at = tk.windows(w.first, width)
+                    place = tk.chain(w.hash, width)[run_at] >> np.uint64(64 - FILTER_BITS)
+                    place = place.astype(np.int64)
+                    run_at = run_at[(packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                    ats.append(run_at)
+                    kinds.append(np.full(len(run_at), width, np.int32))
+                at = np.concatenate(ats) if ats else np.zeros(0, np.int64)
+                kind = np.concatenate(kinds) if kinds else np.zeros(0, np.int32)
+                order = np.argsort(at, kind="stable")
+                at, kind = at[order], kind[order]
+                owner = w.doc[at]
+                lists = np.searchsorted(owner, np.arange(w.n_docs + 1)).astype(np.int32)
+                hits = pa.StructArray.from_arrays(
+                    [pa.array(at - w.first[owner]), pa.array(kind), pa.array(_shingle_texts(data, w, at, kind), pa.string())], ["at", "width", "shingle"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(x, y - x), pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(lists), hits)], ["doc_id", "n_words", "hits"]
+                )
 
     found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words long, hits array<struct<at: long, width: int, shingle: string>>")
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "hits")

@@ -144,7 +144,7 @@ def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> Data
         for batch in batches:
             data, offsets = tk.utf8(batch.column(1))
             pred, score, sets = [], [], []
-            for a, b in _document_blocks(offsets):
+            for a, b in tk.document_blocks(offsets, tk.PIECE):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 w = tk.words(part, at, _NO_LETTER, hashed=False)
                 if names:
@@ -170,15 +170,6 @@ def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> Data
     return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
 
 
-def _document_blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about PIECE bytes in all."""
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + tk.PIECE, side="right")) - 1)
-        yield a, b
-        a = b
-
-
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identified(docs.select("doc_id", "text"), *train(docs.where(~in_rest("doc_id", 4))))

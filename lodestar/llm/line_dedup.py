@@ -82,14 +82,19 @@ def permuted(prints: np.ndarray, order: list[int]) -> np.ndarray:
     return out
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tk.Words]:
-    """(document, number within it, key, words) of every line; the key, a hash of its words in order, is 0 for none."""
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, document, number within it) of every line."""
     breaks = np.flatnonzero(data == 10) + 1
     start = np.concatenate((offsets[:-1], breaks))
     owner = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, side="right") - 1))
     order = np.lexsort((start, owner))
     start, owner = start[order], owner[order]
-    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    return start, owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
+
+
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tk.Words]:
+    """(document, number within it, key, words) of every line; the key, a hash of its words in order, is 0 for none."""
+    start, owner, number = _split(data, offsets)
     w = tk.words(data, np.append(start, len(data)), tk.NON_WORD)
     sizes = np.diff(w.first)
     key = np.zeros(len(owner), np.uint64)
@@ -101,9 +106,12 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, number, key, w
 
 
-def _normal(data: np.ndarray, w: tk.Words, line: int) -> str:
-    a, b = w.first[line], w.first[line + 1]
-    return b" ".join(tk.LOWER[data[x:y]].tobytes() for x, y in zip(w.start[a:b], w.end[a:b], strict=True)).decode()
+_TO_BLANK = tk.LOWER.copy()
+_TO_BLANK[tk.NON_WORD[tk.LOWER]] = 32
+
+
+def _normal(line: np.ndarray) -> str:
+    return b" ".join(_TO_BLANK[line].tobytes().split()).decode()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -115,14 +123,16 @@ def all_lines(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, number, key, w = _lines(*tk.utf8(batch.column(2)))
-            prints = tk.majority_bits(w.hash, w.first)
-            keep = np.flatnonzero(key)
-            take = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64)), pa.array(prints[keep].view(np.int64))],
-                ["doc", "print", "line", "key", "simhash"],
-            )
+            data, offsets = tk.utf8(batch.column(2))
+            for a, b in tk.document_blocks(offsets):
+                owner, number, key, w = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                prints = tk.majority_bits(w.hash, w.first)
+                keep = np.flatnonzero(key)
+                take = pa.array(owner[keep] + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64)), pa.array(prints[keep].view(np.int64))],
+                    ["doc", "print", "line", "key", "simhash"],
+                )
 
     return _keyed(docs).mapInArrow(run, "doc long, print long, line int, key long, simhash long")
 
@@ -178,27 +188,33 @@ def restored(moved: np.ndarray, order: list[int]) -> np.ndarray:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, normal: the normal form of each line whose key is in wanted, from a second pass over the text.
+    """wanted (key, simhash, first) with the normal form of each line, from a second pass over the text.
 
-    A filter of fixed size drops nearly all other lines on the spot; the join by key settles the rest.
+    Only the lines that are some key's first occurrence are needed.  A filter of fixed size drops nearly all
+    others by their place alone; the join settles the rest.
     """
-    place = F.shiftrightunsigned("key", 64 - FILTER_BITS).cast("int")
     bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[wanted.select(place.alias("p")).distinct().toArrow().column("p").to_numpy()] = True
+    top = F.shiftrightunsigned(F.col("first.doc").bitwiseXOR(F.col("first.print")), 64 - FILTER_BITS).cast("int")
+    marked = wanted.select(top.bitwiseXOR(F.col("first.line").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).alias("p")).distinct()
+    bits[marked.toArrow().column("p").to_numpy()] = True
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
         for batch in batches:
             data, offsets = tk.utf8(batch.column(2))
-            _, _, key, w = _lines(data, offsets)
-            keys, first = np.unique(key, return_index=True)
-            at = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            keep = (keys > 0) & ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array([_normal(data, w, k) for k in first[keep]], pa.string())], ["key", "normal"])
+            top = (batch.column(0).to_numpy() ^ batch.column(1).to_numpy()).view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            start, owner, number = _split(data, offsets)
+            spot = top.astype(np.int64)[owner] ^ (number & ((1 << FILTER_BITS) - 1))
+            keep = np.flatnonzero((packed[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1)
+            stop = np.append(start[1:], len(data))
+            take = pa.array(owner[keep])
+            forms = pa.array([_normal(data[a:b]) for a, b in zip(start[keep].tolist(), stop[keep].tolist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), forms], ["doc", "print", "line", "normal"])
 
-    found = _keyed(docs).mapInArrow(run, "key long, normal string")
-    return found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("normal").alias("normal"))
+    found = _keyed(docs).mapInArrow(run, "doc long, print long, line int, normal string")
+    keys = wanted.select("key", "simhash", "first.doc", "first.print", "first.line")
+    return found.join(keys, ["doc", "print", "line"]).groupBy("key", "simhash").agg(F.min("normal").alias("normal"))
 
 
 def links(lines: DataFrame, n: int, distance: int, similarity: float) -> DataFrame:
@@ -281,8 +297,8 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE, similarity: float =
     prints = distinct.groupBy("simhash").agg(F.count("*").alias("n"))
     n = prints.count()
     close = close_prints(prints, n, distance).unionByName(prints.where("n > 1").select("simhash")).distinct()
-    near = stored(distinct.join(close, "simhash").select("key", "simhash"))
-    named = stored(near.join(line_texts(docs, near), "key").select("key", "simhash", "normal"))
+    near = stored(distinct.join(close, "simhash").select("key", "simhash", "first"))
+    named = stored(line_texts(docs, near))
     roots = components(links(named, n, distance, similarity)).withColumnRenamed("node", "key")
     groups = distinct.join(roots, "key", "left")
     # Only lines that occur again or are linked are looked up; of the others there is one occurrence, which stays.

@@ -13,13 +13,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 5  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 #: ASCII capitals to small letters, all else unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
+_LOWER_PLUS_ONE = LOWER.astype(np.uint64) + np.uint64(1)
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -77,18 +79,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def _cuts(separator: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of about PIECE bytes that end where no word goes on."""
-    start = 0
+    start, n = 0, len(data)
     while start < n:
         end = min(n, start + PIECE)
-        while end < n and not separator[end]:
-            ahead = np.flatnonzero(separator[end : end + PIECE])
-            end = end + int(ahead[0]) if len(ahead) else min(n, end + PIECE)
+        while end < n and not gap[data[end]]:
+            k = int(np.searchsorted(offsets, end))
+            if offsets[k] == end:
+                break
+            ahead = np.flatnonzero(gap[data[end : min(int(offsets[k]), end + PIECE)]])
+            end = end + int(ahead[0]) if len(ahead) else min(int(offsets[k]), end + PIECE)
         yield start, end
         start = end
 
 
+def document_blocks(offsets: np.ndarray, size: int = 4 * PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of about `size` bytes in all; a longer document is one of its own."""
+    a = 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
+        yield a, b
+        a = b
+
+
 class Words:
     """The words of a column: byte ranges, hash and document of each, in order; first[d] is the first word of document d."""
 
@@ -104,32 +118,30 @@ class Words:
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
     """Splits every document into words; equal words (after lower-casing A-Z) have equal 64-bit hashes."""
     n = len(data)
-    break_at = np.zeros(n + 1, bool)
-    break_at[offsets] = True
-    gap = separator[LOWER[data]] if lower else separator[data]
+    value = _LOWER_PLUS_ONE if lower else _PLUS_ONE
+    inside_of = ~(separator[LOWER] if lower else separator)
+    breaks = offsets[(offsets > 0) & (offsets < n)]
     starts, ends, hashes = [], [], []
-    for a, b in _cuts(gap | break_at[:n], n):
-        inside = ~gap[a:b]
-        new = break_at[a:b].copy()
-        new[0] = True
-        before = np.empty(b - a, bool)
-        before[0] = False
-        before[1:] = inside[:-1]
-        s = np.flatnonzero(inside & (new | ~before))
-        after = np.empty(b - a, bool)
-        after[-1] = False
-        after[:-1] = inside[1:]
-        stop = np.empty(b - a, bool)
-        stop[-1] = True
-        stop[:-1] = break_at[a + 1 : b]
-        e = np.flatnonzero(inside & (stop | ~after)) + 1
+    for a, b in _cuts(data, offsets, ~inside_of):
+        inside = inside_of[data[a:b]].view(np.int8)
+        edge = np.empty(b - a + 1, np.int8)
+        edge[0], edge[-1] = inside[0], -inside[-1]
+        np.subtract(inside[1:], inside[:-1], out=edge[1:-1])
+        s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # A document that starts inside a run of word bytes ends one word and starts another.
+        cut = breaks[np.searchsorted(breaks, a + 1) : np.searchsorted(breaks, b)] - a
+        cut = np.unique(cut[(inside[cut] == 1) & (inside[cut - 1] == 1)])
+        if len(cut):
+            s, e = np.sort(np.concatenate((s, cut))), np.sort(np.concatenate((e, cut)))
         starts.append(s + a)
         ends.append(e + a)
         if hashed:
             power, inverse = _power_tables(b - a + 1)
-            piece = LOWER[data[a:b]] if lower else data[a:b]
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * power[: b - a], out=total[1:])
+            total = np.empty(b - a + 1, np.uint64)
+            total[0] = 0
+            terms = value[data[a:b]]
+            terms *= power[: b - a]
+            np.cumsum(terms, out=total[1:])
             h = (total[e] - total[s]) * inverse[s]
             h += (e - s).astype(np.uint64) << np.uint64(56)
             hashes.append(mix(h))

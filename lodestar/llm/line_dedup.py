@@ -45,7 +45,21 @@ def similar(a: str, b: str, least: float) -> bool:
     longer, shorter = max(len(a), len(b)), min(len(a), len(b))
     if shorter < least * longer - 1e-9:
         return False
-    return a == b or 1 - edit_distance(a, b) / longer >= least - 1e-9
+    if a == b:
+        return True
+    # What both begin and end with costs nothing, and is most of them.
+    head = _common(lambda n: a[:n] == b[:n], shorter)
+    tail = _common(lambda n: a[len(a) - n :] == b[len(b) - n :], shorter - head)
+    return 1 - edit_distance(a[head : len(a) - tail], b[head : len(b) - tail]) / longer >= least - 1e-9
+
+
+def _common(same, most: int) -> int:
+    """The largest n up to most for which same(n) holds."""
+    low, high = 0, most
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if same(middle) else (low, middle - 1)
+    return low
 
 
 def tables(n_lines: int, distance: int = DISTANCE) -> list[list[int]]:

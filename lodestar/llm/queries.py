@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lodestar.llm import decontaminate, langid, line_dedup, maxscore, mixing, quality, simhash, suffix_dedup, toxicity
+from lodestar.llm import decontaminate, interpolated_lm, langid, line_dedup, maxscore, mixing, quality, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_interpolated_lm": interpolated_lm.op5_interpolated_lm,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_maxscore": maxscore.op7_maxscore,
     "op8_langid": langid.op8_langid,

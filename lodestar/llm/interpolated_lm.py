@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -92,11 +93,18 @@ class Tokens:
         return cls(ids, parts, first, np.repeat(np.arange(len(ids)), np.diff(first)), [words, pairs])
 
 
+def _edges(values: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Where each of n buckets, equal ranges of the hashes, starts among the sorted values; one entry more than buckets."""
+    inner = (np.arange(1, n, dtype=np.float64) * (2.0**bits / n)).astype(np.uint64)
+    return np.concatenate(([0], np.searchsorted(values, inner), [len(values)]))
+
+
 def counted(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """What each chunk must know beyond its own counts, as (chunk, kind, hashes, totals); rows of chunk -1 have N and V.
+    """What each chunk must know beyond its own counts, as (chunk, kind, bucket, told, totals); the row of chunk -1 has N and V.
 
     Chunks send every distinct word and pair with its number in their training documents to buckets of
-    hashes, which add them up and send back the totals that differ from what a chunk counted itself.
+    hashes.  These add them up and answer each chunk with the totals that differ from what it counted
+    itself; told marks which of the hashes it sent they are of, so the hashes needn't travel back.
     """
 
     def ask(table: pa.Table) -> pa.Table:
@@ -110,12 +118,10 @@ def counted(docs: DataFrame, n: int, bits: int) -> DataFrame:
             start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
             counts = np.add.reduceat(train[order].astype(np.uint32), start, dtype=np.uint32) if len(start) else np.zeros(0, np.uint32)
             values = ordered[start]
-            width = 64 if kind == 0 else bits
-            edges = (np.arange(1, n, dtype=np.float64) * (2.0**width / n)).astype(np.uint64)
-            edges = np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+            edges = _edges(values, n, bits if kind else 64)
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
-                rows.append((int(b), chunk, kind, pack(values[part]), counts[part].tobytes()))
+                rows.append((int(b), chunk, kind, pack(values[part]), _pack_counts(counts[part])))
         kinds = [pa.int32()] * 3 + [pa.binary()] * 2
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["bucket", "chunk", "kind", "hashes", "counts"])
 
@@ -126,46 +132,53 @@ def counted(docs: DataFrame, n: int, bits: int) -> DataFrame:
             if not mine:
                 continue
             parts = [unpack(r["hashes"]) for r in mine]
-            counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in mine]).astype(np.int64)
-            owner = np.repeat([r["chunk"] for r in mine], [len(p) for p in parts])
+            counts = np.concatenate([_unpack_counts(r["counts"], len(p)) for r, p in zip(mine, parts, strict=True)])
             hashes = np.concatenate(parts)
             order = np.argsort(hashes, kind="stable")
             ordered = hashes[order]
             start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
             total = np.add.reduceat(counts[order], start)
             if kind == 0:
-                rows.append((-1, kind, b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
+                rows.append((-1, kind, 0, b"", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes()))
             every = np.empty(len(order), np.int64)
             every[order] = np.repeat(total, np.diff(np.append(start, len(order))))
             edges = np.append(0, np.cumsum([len(p) for p in parts]))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                tell = np.flatnonzero(every[a:b] != counts[a:b])
-                if len(tell):
-                    totals = every[a:b][tell]
-                    narrow = totals.astype(np.uint32).tobytes() if int(totals.max()) < 1 << 32 else totals.tobytes()
-                    rows.append((int(owner[a]), kind, pack(hashes[a:b][tell]), narrow))
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 2
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["chunk", "kind", "hashes", "totals"])
+            for r, a, b in zip(mine, edges[:-1], edges[1:], strict=True):
+                told = every[a:b] != counts[a:b]
+                if told.any():
+                    rows.append((r["chunk"], kind, r["bucket"], np.packbits(told).tobytes(), _pack_counts(every[a:b][told])))
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 2
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["chunk", "kind", "bucket", "told", "totals"])
 
     asked = packed(docs, n).groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, kind int, hashes binary, counts binary")
-    return asked.groupBy("bucket").applyInArrow(add, "chunk int, kind int, hashes binary, totals binary")
+    return asked.groupBy("bucket").applyInArrow(add, "chunk int, kind int, bucket int, told binary, totals binary")
 
 
-def _totals(tokens: Tokens, answers: pa.Table) -> list[np.ndarray]:
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count under 255; those beyond follow in eight."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+
+def _unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob[n:], np.int64)
+    return out
+
+
+def _totals(tokens: Tokens, answers: pa.Table, n: int, bits: int) -> list[np.ndarray]:
     """The corpus count of each token's word and pair: the bucket's answer, or else the chunk's own count."""
     train = (tokens.parts != HELD_OUT)[tokens.doc]
     out = []
-    told = answers.to_pylist()
+    replies = answers.to_pylist()
     for kind, hashes in enumerate(tokens.kinds):
         values, inverse = np.unique(hashes, return_inverse=True)
         counts = np.bincount(inverse, train, len(values)).astype(np.int64)
-        for r in told:
+        edges = _edges(values, n, bits if kind else 64)
+        for r in replies:
             if r["kind"] == kind:
-                known = unpack(r["hashes"])
-                totals = np.frombuffer(r["totals"], np.uint32 if len(r["totals"]) == 4 * len(known) else np.int64)
-                at = np.minimum(np.searchsorted(values, known), max(0, len(values) - 1))
-                hit = values[at] == known if len(values) else np.zeros(len(known), bool)
-                counts[at[hit]] = totals[hit]
+                a, b = edges[r["bucket"]], edges[r["bucket"] + 1]
+                told = np.flatnonzero(np.unpackbits(np.frombuffer(r["told"], np.uint8), count=b - a))
+                counts[a + told] = _unpack_counts(r["totals"], len(told))
         out.append(counts[inverse])
     return out
 
@@ -216,7 +229,7 @@ def scored(docs: DataFrame) -> DataFrame:
     # Wide enough that hardly any two pairs of the corpus share a hash, and no wider: they are what is sent.
     bits = min(64, max(32, 10 + int(np.ceil(np.log2(n * float(CHUNK_BYTES))))))
     answers = stored(counted(docs, n, bits))
-    spark.sparkContext._jvm.System.gc()  # lets the shuffle files of the counting go
+    _let_go(spark)
     totals = np.zeros(2, np.int64)
     for r in answers.where("chunk = -1").toArrow().to_pylist():
         totals += np.frombuffer(r["totals"], np.int64)
@@ -229,7 +242,7 @@ def scored(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return empty
         tokens = Tokens.of(table, bits)
-        word, pair = _totals(tokens, reply)
+        word, pair = _totals(tokens, reply, n, bits)
         mine = np.flatnonzero((tokens.parts == DELETED)[tokens.doc])
         if not len(mine):
             return empty
@@ -246,7 +259,7 @@ def scored(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return fields.empty_table()
         tokens = Tokens.of(table, bits)
-        word, pair = _totals(tokens, reply)
+        word, pair = _totals(tokens, reply, n, bits)
         context = np.append(_end_count(tokens, word), word[:-1])
         weight = weights[_bucket(context)]
         p = weight[:, 0] * pair / np.maximum(context, 1) + weight[:, 1] * word / max(1, n_train) + weight[:, 2] * uniform
@@ -263,11 +276,17 @@ def scored(docs: DataFrame) -> DataFrame:
     bins = np.column_stack([event >> 22, (event >> 11) & 2047, event & 2047])
     bins[:, 1:][bins[:, 1:] == 1024] = -1
     weights = learn(bins, events.column("n").to_numpy())
-    spark.sparkContext._jvm.System.gc()
+    _let_go(spark)
     out = packed(docs, n).groupBy("chunk").cogroup(replies).applyInArrow(rate, "doc_id long, part int, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", (F.col("part") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _end_count(tokens: Tokens, word: np.ndarray) -> np.ndarray:
     """The count of the end token, the context of a chunk's first token."""
     return word[tokens.first[1] - 1 : tokens.first[1]]

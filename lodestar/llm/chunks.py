@@ -8,7 +8,7 @@ a chunk, not one an occurrence, and buckets answer the chunks.  Numbers of both
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.shared import shuffle_partitions
@@ -18,10 +18,13 @@ CHUNK_BYTES = 4 << 20
 HASH_BITS = 48
 
 
-def chunk_count(docs: DataFrame, column: str = "text", chunk_bytes: int = CHUNK_BYTES) -> int:
-    """Chunks for all the text of docs; a few for each shuffle partition at least, so that partitions are even."""
-    total = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
-    return max(int(total // chunk_bytes) + 1, 2 * shuffle_partitions(docs.sparkSession))
+def text_bytes(docs: DataFrame, column: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+
+
+def pieces(spark: SparkSession, total: int, size: int = CHUNK_BYTES, spread: int = 2) -> int:
+    """Chunks or buckets of about `size` bytes for `total`; a few for each shuffle partition, so that partitions are even."""
+    return max(total // size + 1, spread * shuffle_partitions(spark))
 
 
 def chunk_of(key: str, n: int) -> Column:

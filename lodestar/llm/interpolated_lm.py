@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.chunks import chunk_count, chunk_of
+from lodestar.llm.chunks import chunk_of, pieces, text_bytes
 from lodestar.llm.shared import load, stored
 
 CHUNK_BYTES = 8 << 20
@@ -99,11 +99,11 @@ def _edges(values: np.ndarray, n: int, bits: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(values, inner), [len(values)]))
 
 
-def counted(docs: DataFrame, n: int, bits: int) -> DataFrame:
+def counted(docs: DataFrame, n: int, m: int, bits: int) -> DataFrame:
     """What each chunk must know beyond its own counts, as (chunk, kind, bucket, told, totals); the row of chunk -1 has N and V.
 
-    Chunks send every distinct word and pair with its number in their training documents to buckets of
-    hashes.  These add them up and answer each chunk with the totals that differ from what it counted
+    The n chunks send every distinct word and pair with its number in their training documents to m buckets
+    of hashes.  These add them up and answer each chunk with the totals that differ from what it counted
     itself; told marks which of the hashes it sent they are of, so the hashes needn't travel back.
     """
 
@@ -118,7 +118,7 @@ def counted(docs: DataFrame, n: int, bits: int) -> DataFrame:
             start = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))[: len(ordered)]
             counts = np.add.reduceat(train[order].astype(np.uint32), start, dtype=np.uint32) if len(start) else np.zeros(0, np.uint32)
             values = ordered[start]
-            edges = _edges(values, n, bits if kind else 64)
+            edges = _edges(values, m, bits if kind else 64)
             for b in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[b], edges[b + 1])
                 rows.append((int(b), chunk, kind, pack(values[part]), _pack_counts(counts[part])))
@@ -165,7 +165,7 @@ def _unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _totals(tokens: Tokens, answers: pa.Table, n: int, bits: int) -> list[np.ndarray]:
+def _totals(tokens: Tokens, answers: pa.Table, m: int, bits: int) -> list[np.ndarray]:
     """The corpus count of each token's word and pair: the bucket's answer, or else the chunk's own count."""
     train = (tokens.parts != HELD_OUT)[tokens.doc]
     out = []
@@ -173,7 +173,7 @@ def _totals(tokens: Tokens, answers: pa.Table, n: int, bits: int) -> list[np.nda
     for kind, hashes in enumerate(tokens.kinds):
         values, inverse = np.unique(hashes, return_inverse=True)
         counts = np.bincount(inverse, train, len(values)).astype(np.int64)
-        edges = _edges(values, n, bits if kind else 64)
+        edges = _edges(values, m, bits if kind else 64)
         for r in replies:
             if r["kind"] == kind:
                 a, b = edges[r["bucket"]], edges[r["bucket"] + 1]
@@ -225,10 +225,11 @@ def scored(docs: DataFrame) -> DataFrame:
     an id is in the training part and keeps its null id.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    n = chunk_count(docs, chunk_bytes=CHUNK_BYTES)
+    total = text_bytes(docs)
+    n, m = pieces(spark, total, CHUNK_BYTES), pieces(spark, total, CHUNK_BYTES, spread=1)
     # Wide enough that hardly any two pairs of the corpus share a hash, and no wider: they are what is sent.
     bits = min(64, max(32, 10 + int(np.ceil(np.log2(n * float(CHUNK_BYTES))))))
-    answers = stored(counted(docs, n, bits))
+    answers = stored(counted(docs, n, m, bits))
     _let_go(spark)
     totals = np.zeros(2, np.int64)
     for r in answers.where("chunk = -1").toArrow().to_pylist():
@@ -242,7 +243,7 @@ def scored(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return empty
         tokens = Tokens.of(table, bits)
-        word, pair = _totals(tokens, reply, n, bits)
+        word, pair = _totals(tokens, reply, m, bits)
         mine = np.flatnonzero((tokens.parts == DELETED)[tokens.doc])
         if not len(mine):
             return empty
@@ -259,7 +260,7 @@ def scored(docs: DataFrame) -> DataFrame:
         if not table.num_rows:
             return fields.empty_table()
         tokens = Tokens.of(table, bits)
-        word, pair = _totals(tokens, reply, n, bits)
+        word, pair = _totals(tokens, reply, m, bits)
         context = np.append(_end_count(tokens, word), word[:-1])
         weight = weights[_bucket(context)]
         p = weight[:, 0] * pair / np.maximum(context, 1) + weight[:, 1] * word / max(1, n_train) + weight[:, 2] * uniform

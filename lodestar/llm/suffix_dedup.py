@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.chunks import CHUNK_BYTES, HASH_BITS, bucket_edges, chunk_count, chunk_of, pack, unpack
+from lodestar.llm.chunks import CHUNK_BYTES, HASH_BITS, bucket_edges, chunk_of, pack, pieces, text_bytes, unpack
 from lodestar.llm.shared import load
 
 #: Length of the strings whose hashes pick anchors; at most the shortest match.
@@ -190,8 +190,9 @@ def removed(docs: DataFrame, length: int = 50) -> DataFrame:
     id and text) stay repeated and are one document; rows of one id never take from each other; a null
     doc_id counts as greater than any other.  Extra columns are ignored.
     """
-    n = chunk_count(docs)
-    n_groups = chunk_count(docs, chunk_bytes=CHUNK_BYTES // 4)  # of strings: as many bytes as the text, and sorting needs many times that
+    total = text_bytes(docs)
+    n = pieces(docs.sparkSession, total)
+    n_groups = pieces(docs.sparkSession, total, CHUNK_BYTES // 4)  # of strings: as many bytes as the text, and sorting needs many times that
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = base.withColumn("owner", F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)))
     base = base.withColumn("print", F.xxhash64("text")).withColumn("chunk", chunk_of("owner", n))

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_grade: i
         for batch in batches:
             for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = sorted({"".join(c for c in t if c.isalpha()) for t in (text or "").lower().split()})
-                yield pa.RecordBatch.from_arrays([pa.array([grade > 0] * len(found)), pa.array(found, pa.string())], ["toxic", "token"])
+                yield pa.RecordBatch.from_arrays([pa.array([grade > 0] * len(found), pa.bool_()), pa.array(found, pa.string())], ["toxic", "token"])
 
     seen = sample.mapInArrow(tokens, "toxic boolean, token string")
     seen = seen.groupBy("token").agg(F.sum(F.col("toxic").cast("long")).alias("on"), F.sum((~F.col("toxic")).cast("long")).alias("off"))

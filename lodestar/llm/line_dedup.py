@@ -47,12 +47,34 @@ def similar(a: str, b: str, least: float) -> bool:
         return False
     if a == b:
         return True
-    # What both begin and end with costs nothing, and is most of them.
+    # One way to edit is found at sight; if it is cheap enough, so is the best way.
+    if _edits_at_most(a.split(" "), b.split(" "), (1 - least) * longer):
+        return True
+    # What both begin and end with costs nothing.
     head = _common(lambda n: a[:n] == b[:n], shorter)
     tail = _common(lambda n: a[len(a) - n :] == b[len(b) - n :], shorter - head)
     return 1 - edit_distance(a[head : len(a) - tail], b[head : len(b) - tail]) / longer >= least - 1e-9
 
 
+#: How far to look ahead in either line for the next word they share, nearest first.
+_AHEAD = sorted(((i, j) for i in range(4) for j in range(4) if i + j), key=lambda p: (p[0] + p[1], abs(p[0] - p[1])))
+
+
+def _edits_at_most(a: list[str], b: list[str], most: float) -> bool:
+    """True if matching words in order, and replacing what lies between, takes no more than `most` edits of letters."""
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        x, y = next(((x, y) for x, y in _AHEAD if i + x < len(a) and j + y < len(b) and a[i + x] == b[j + y]), (1, 1))
+        cost += max(sum(map(len, a[i : i + x])) + x, sum(map(len, b[j : j + y])) + y)
+        if cost > most:
+            return False
+        i, j = i + x, j + y
+    return cost + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j) <= most
+
+
 def _common(same, most: int) -> int:
     """The largest n up to most for which same(n) holds."""
     low, high = 0, most

@@ -102,6 +102,59 @@ def occurrences(docs: DataFrame, shingles: DataFrame, size: int) -> DataFrame:
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "hits")
 
 
+def stretches(at: np.ndarray, code: np.ndarray, reach: int, need: int, lead: int) -> np.ndarray:
+    """The places, of windows found at `at` (ascending), that lie in a stretch with `need` different windows.
+
+    A stretch starts at a found window and holds those up to `reach` words further on; none that starts
+    elsewhere has more.  Codes up to `lead` are the joined ones.  The stretch slides on, so the work is linear
+    however often a long document repeats an item.
+    """
+    anchors = at[code <= lead]
+    if not len(anchors):
+        return at[:0]
+    ahead = anchors[np.minimum(np.searchsorted(anchors, at - reach), len(anchors) - 1)]
+    close = np.abs(ahead - at) <= reach
+    at, code = at[close], code[close].tolist()
+    stop = np.searchsorted(at, at + reach, side="right")
+    edge = np.zeros(len(at) + 1, np.int64)
+    inside: dict[int, int] = {}
+    taken = 0
+    for start, end in enumerate(stop.tolist()):
+        for k in range(taken, end):
+            inside[code[k]] = inside.get(code[k], 0) + 1
+        taken = end
+        if len(inside) >= need:
+            edge[start] += 1
+            edge[end] -= 1
+        inside[code[start]] -= 1
+        if not inside[code[start]]:
+            del inside[code[start]]
+    return at[np.cumsum(edge[:-1]) > 0]
+
+
+def _verified(held: DataFrame) -> DataFrame:
+    """row, item_id, at, width of the windows in good stretches; held has what each document has of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = lambda name: batch.column(name).to_numpy()  # noqa: B023, E731
+            found = batch.column("found")
+            edges = found.offsets.to_numpy()
+            inner = found.values
+            at, code = inner.field("at").to_numpy(), inner.field("code").to_numpy()
+            width = number("width")
+            good = [
+                stretches(at[a:b], code[a:b], int(length - w), int(need), int(lead))
+                for a, b, length, w, need, lead in zip(edges[:-1], edges[1:], number("length"), width, number("need"), number("lead"), strict=True)
+            ]
+            owner = np.repeat(np.arange(len(good)), [len(g) for g in good])
+            take = pa.array(owner, pa.int64())
+            places = np.concatenate([np.zeros(0, np.int64), *good])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("item_id").take(take), pa.array(places), pa.array(width[owner])], ["row", "item_id", "at", "width"])
+
+    return held.mapInArrow(run, f"row long, item_id {held.schema['item_id'].dataType.simpleString()}, at long, width int")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment: float | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings), spans: what each document holds of each item.
 
@@ -127,27 +180,20 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
     share = F.lit(0.0) if containment is None else F.lit(float(containment))
     item = item.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * share)))
     rank = F.row_number().over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "shingle"))
-    item = item.withColumn("prefix", rank <= F.col("n") - F.col("need") + 1).drop("n_docs", "n")
+    item = item.withColumn("code", rank).withColumn("lead", F.col("n") - F.col("need") + 1).drop("n_docs", "n")
 
     hits = seen.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.at", "hit.width", "hit.shingle")
     long_enough = F.col("n_words") >= F.col("width") + F.col("need") - 1
     if containment is None:
         # Every window is in the prefix and each one found is a match by itself.
-        match = hits.join(item.where("prefix"), ["shingle", "width"]).where(long_enough).select("row", "item_id", "at", "width")
+        match = hits.join(item.where("code <= lead"), ["shingle", "width"]).where(long_enough).select("row", "item_id", "at", "width")
     else:
-        probe = hits.join(item.where("prefix"), ["shingle", "width"]).where(long_enough)
-        near = probe.groupBy("row", "item_id", "length").agg(F.collect_set("at").alias("anchors"))
-        # Only documents with an anchor are looked at again; a window counts if an anchor is in one stretch with it.
-        all_hits = hits.join(item, ["shingle", "width"]).join(near.withColumnRenamed("item_id", "near_id"), ["row", "length"])
-        all_hits = all_hits.where(F.col("item_id").eqNullSafe(F.col("near_id")))
-        close = F.exists("anchors", lambda a: F.abs(a - F.col("at")) <= F.col("length") - F.col("width"))
-        all_hits = all_hits.where(close)
-        held = all_hits.groupBy("row", "item_id", "length", "need", "width").agg(F.array_sort(F.collect_set(F.struct("at", "shingle"))).alias("found"))
-        inside = lambda s: F.filter("found", lambda h: (h["at"] >= s["at"]) & (h["at"] <= s["at"] + F.col("length") - F.col("width")))
-        # A stretch that starts at a found window is as good as any other.
-        starts = F.filter("found", lambda s: F.size(F.array_distinct(F.transform(inside(s), lambda h: h["shingle"]))) >= F.col("need"))
-        good = F.array_distinct(F.flatten(F.transform(starts, inside)))
-        match = held.select("row", "item_id", "width", F.explode(good).alias("hit")).select("row", "item_id", F.col("hit.at").alias("at"), "width")
+        probe = hits.join(item.where("code <= lead"), ["shingle", "width"]).where(long_enough)
+        # Only documents with a joined window are looked at again.
+        near = probe.select("row", "length", F.col("item_id").alias("near_id")).distinct()
+        all_hits = hits.join(item, ["shingle", "width"]).join(near, ["row", "length"]).where(F.col("item_id").eqNullSafe(F.col("near_id")))
+        held = all_hits.groupBy("row", "item_id", "length", "need", "lead", "width").agg(F.array_sort(F.collect_set(F.struct("at", "code"))).alias("found"))
+        match = _verified(held)
 
     per = match.groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1))))

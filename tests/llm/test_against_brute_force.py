@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import interpolated_lm, line_dedup, maxscore, mixing, simhash, suffix_dedup
+from lodestar.llm import decontaminate, interpolated_lm, line_dedup, maxscore, mixing, simhash, suffix_dedup
 from lodestar.llm import textkernel as tk
 from lodestar.llm.queries import QUERIES
 from lodestar.llm.shared import components
@@ -179,6 +179,47 @@ def test_like_lines_in_tiles(spark, monkeypatch):
     assert links.count() < 40 * 39 / 2
 
 
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 5)), max_size=40, unique_by=lambda p: p[0]), st.integers(0, 8), st.integers(1, 5))
+@settings(max_examples=200, deadline=None)
+def test_stretches(found, reach, need):
+    found.sort()
+    at, code = np.array([p[0] for p in found], np.int64), np.array([p[1] for p in found], np.int64)
+    lead = 5 - need + 1  # of five windows, need of them include one of these
+    inside = [[p for p in found if a <= p[0] <= a + reach] for a, _ in found]
+    expected = {p[0] for s in inside if len({c for _, c in s}) >= need for p in s}
+    assert decontaminate.stretches(at, code, reach, need, lead).tolist() == sorted(expected)
+
+
+def test_containment(spark):
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(30)}" for _ in range(n)]
+    items = {k: words(n) for k, n in enumerate((3, 8, 9, 20, 30, 40))}
+    docs = {k: words(rng.randrange(60)) for k in range(30)}
+    for k in range(30, 60):
+        item = items[rng.randrange(6)]
+        a = rng.randrange(len(item))
+        docs[k] = words(rng.randrange(20)) + item[a : a + rng.randrange(1, 30)] + words(rng.randrange(5)) + item[:a] + words(3)
+    docs[60] = items[4] * 2000  # an item over and over
+    share, size = 0.5, 8
+    expected = {}
+    for d, text in docs.items():
+        for i, item in items.items() if d < 60 else ():
+            width = min(size, len(item))
+            parts = {tuple(item[k : k + width]) for k in range(len(item) - width + 1)}
+            held = [k for k in range(len(text) - width + 1) if tuple(text[k : k + width]) in parts]
+            for s in held:
+                stretch = [k for k in held if s <= k <= s + len(item) - width]
+                if len({tuple(text[k : k + width]) for k in stretch}) >= max(1, math.ceil(share * len(parts))):
+                    expected.setdefault(d, {}).setdefault(str(i), set()).update((k, width) for k in stretch)
+    assert len(expected) > 5
+    as_table = lambda rows, key: spark.createDataFrame([(k, " ".join(t)) for k, t in rows.items()], f"{key} long, text string")
+    found = {r.doc_id: r for r in decontaminate.contaminated(as_table(docs, "doc_id"), as_table(items, "item_id"), size, share).collect()}
+    for d in range(60):
+        assert found[d]["items"] == sorted(expected.get(d, {}))
+        assert {tuple(s) for s in found[d].spans} == set().union(*expected.get(d, {}).values())
+    assert "4" in found[60]["items"] and found[60].n_hit == len(docs[60])
+
+
 def test_language_model(spark, texts):
     tokens = {d: [*lower(t).split(), None] for d, t in texts.items()}
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]

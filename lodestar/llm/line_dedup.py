@@ -348,7 +348,9 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE, similarity: float =
     rows = rows.join(cut, ["doc", "print"], "left")
     parts = F.split("row.text", "\n")
     rows = rows.select("row", F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), parts.alias("parts"))
-    left = F.filter("parts", lambda x, i: ~F.array_contains("removed", i))
+    # By a set difference: looking each line up in `removed` would take the square of a long text's lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
+    left = F.transform(stay, lambda i: F.element_at("parts", i + 1))
     text = F.when(F.size("removed") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n"))
     return rows.select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "removed", text.alias("kept"))
 

@@ -61,6 +61,17 @@ def test_line_dedup(docs):
     assert line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_many_lines(spark):
+    text = "\n".join(f"{'one and the same line' if k % 3 else f'number {k} {k * k} {k ** 3}'}" for k in range(30_000))
+    out = line_dedup.deduplicated(spark.createDataFrame([(1, text)], "doc_id long, text string"), similarity=1.0).first()
+    seen, kept = set(), []
+    for line in text.split("\n"):
+        if line not in seen:
+            seen.add(line)
+            kept.append(line)
+    assert out.kept == "\n".join(kept) and len(out.removed) == 30_000 - len(kept)
+
+
 def test_quality(docs, labels):
     model = quality.train(docs, labels)
     out = quality.graded(docs, model, 1).collect()

@@ -6,7 +6,10 @@ import json
 from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from datetime import date, datetime
+from decimal import Decimal
 from functools import reduce
+from math import isqrt
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,19 @@ from lodestar.operators.relational import frequencies, max_and_top_frequency
 
 #: Distinct values up to which a frequency table is brought to the driver; beyond, values are binned first.
 DRIVER_VALUES = 1_000_000
+#: Such bins are this many to a bucket, cut by a sample of this many rows to a bin.
+BINS, SAMPLED = 64, 16
+
+#: Values that JSON has no form for: name, type, from and to text.
+_TEXT_FORMS = [("datetime", datetime, datetime.isoformat, datetime.fromisoformat), ("date", date, date.isoformat, date.fromisoformat), ("decimal", Decimal, str, Decimal)]
+
+
+def _to_text(value: Any) -> dict[str, str]:
+    return next({name: to(value)} for name, kind, to, _ in _TEXT_FORMS if isinstance(value, kind))
+
+
+def _from_text(value: dict[str, Any]) -> Any:
+    return next((back(value[name]) for name, _, _, back in _TEXT_FORMS if list(value) == [name]), value)
 
 
 @dataclass(frozen=True)
@@ -48,11 +64,11 @@ class Histogram:
         return sum(c for a, b, c in zip(self.lows, self.highs, self.counts, strict=True) if b >= low and a <= high) / total if total else 0.0
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), default=str)
+        return json.dumps(asdict(self), default=_to_text)
 
     @classmethod
     def from_json(cls, text: str) -> Histogram:
-        return cls(**{k: tuple(v) for k, v in json.loads(text).items()})
+        return cls(**{k: tuple(v) for k, v in json.loads(text, object_hook=_from_text).items()})
 
 
 def _table(df: DataFrame, column: str, parts: int, weight: str | None) -> list[tuple[Any, Any, int]]:
@@ -60,12 +76,30 @@ def _table(df: DataFrame, column: str, parts: int, weight: str | None) -> list[t
     freq = frequencies(df, column, weight)
     if freq.limit(DRIVER_VALUES + 1).count() <= DRIVER_VALUES:
         return [(r["value"], r["value"], r["freq"]) for r in freq.orderBy("value").collect()]
-    cuts = sorted(set(df.approxQuantile(column, [k / (64 * parts) for k in range(64 * parts)], 1 / (256 * parts))))
-    bins = Histogram(tuple(cuts), tuple(cuts), (0,) * len(cuts)).bucket_column("value")
+    bins = _bin(freq, "value", _fine_cuts(df, column, BINS * parts))
     rows = freq.groupBy(bins.alias("bin")).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("freq").alias("freq"))
     return [(r["low"], r["high"], r["freq"]) for r in rows.orderBy("bin").collect()]
 
 
+def _fine_cuts(df: DataFrame, column: str, n: int) -> list:
+    """About n values that cut the rows evenly, whatever their type, from a sample of about SAMPLED * n rows."""
+    present = df.select(column).where(F.col(column).isNotNull())
+    rate = SAMPLED * n / max(1, present.count())
+    values = sorted(r[0] for r in (present.sample(False, rate, 7) if rate < 1 else present).collect())
+    return sorted(set(values[:: max(1, len(values) // n)]))
+
+
+def _bin(df: DataFrame, column: str, cuts: Sequence) -> Column:
+    """How many cuts are not above a value: looked for among every wide-th cut, then among those from there to the next."""
+    kind = df.schema[column].dataType
+    lit = lambda v: F.lit(v).cast(kind)
+    wide = max(1, isqrt(len(cuts)))
+    x = F.col(column)
+    outer = reduce(lambda a, b: a + b, ((x >= lit(low)).cast("int") for low in cuts[wide::wide]), F.lit(0))
+    groups = F.array(*[F.array(*map(lit, cuts[k : k + wide])) for k in range(0, len(cuts), wide)])
+    return outer * wide + F.size(F.filter(F.element_at(groups, outer + 1), lambda low: low <= x))
+
+
 def _from_cuts(table: Sequence[tuple[Any, Any, int]], ends: Sequence[int]) -> Histogram:
     """A histogram whose buckets end after the entries numbered ends."""
     lows, highs, counts, start = [], [], [], 0

@@ -11,7 +11,7 @@ from lodestar.functions.predicates import Filter, Parameter, conjunction
 from lodestar.operators import key_summary as ks
 from lodestar.operators import relational as rel
 from lodestar.operators import statistics as stats
-from lodestar.plans import advisors, estimate, star
+from lodestar.plans import advisors, estimate, runner, star
 from lodestar.plans.observe import observed
 from lodestar.plans.workload import read_queries, read_workload
 from lodestar.queries import LINEITEM_STAR, WORKLOADS, star_frames, star_query
@@ -118,6 +118,21 @@ def test_histograms(spark, make, heavy):
         assert (heavy, heavy) in list(zip(h.lows, h.highs, strict=True))
 
 
+def test_histograms_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "DRIVER_VALUES", 100)
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("v"), F.format_string("%06d", "id").alias("t"), F.date_add(F.lit(date(1900, 1, 1)), F.col("id").cast("int")).alias("d"))
+    df = df.unionAll(df.where("v = 77").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("n"))
+    for c in ("v", "t", "d"):
+        h = stats.equi_depth(df, c, 8)
+        low, high = df.agg(F.min(c), F.max(c)).first()
+        assert sum(h.counts) == 2 * n and (h.lows[0], h.highs[-1]) == (low, high)
+        assert all(a <= b for a, b in zip(h.lows, h.highs, strict=True)) and all(b < a for b, a in zip(h.highs, h.lows[1:], strict=False))
+        found = df.groupBy(h.bucket_column(c).alias("k")).count().orderBy("k").collect()
+        assert [r["count"] for r in found] == list(h.counts)
+        assert sorted(h.counts)[-2] < n // 2 and stats.Histogram.from_json(h.to_json()) == h
+
+
 def test_summary_bits(spark):
     probe = spark.range(4096).select((F.col("id") % 2048).cast("int").alias("fk"), F.when(F.col("id") < 2048, F.col("id")).otherwise(4095 - F.col("id")).cast("int").alias("filter"))
     h = stats.Histogram(tuple(range(0, 2048, 32)), tuple(range(31, 2048, 32)), (64,) * 64)
@@ -238,6 +253,47 @@ def test_summary_stream(spark, tmp_path):
     assert {r.key: r.m for r in spark.sql("SELECT key, max(bits) AS m FROM bits GROUP BY key").collect()} == {1: 3, 2: 2}
 
 
+def test_view_and_lookup_costs():
+    workload = read_workload(WORKLOADS / "customer_star.toml")
+    rows = {"customer": 100.0, "orders": 1000.0, "events": 500.0}
+    scans, order = {"customer": 50.0, "orders": 200.0, "events": 500.0}, ["orders", "events"]
+    freq = {"orders": estimate.Link(10, 10, 10), "events": estimate.Link(5, 5, 5)}
+    cost, out = estimate.plan_cost(scans, rows, workload, order, freq)
+    assert (cost, out) == (0.1 * 1600 + 200 + 1000, 1000)
+    assert estimate.view_rows(rows, workload, ["orders"], freq) == 1000
+    assert estimate.view_cost(["orders"], scans, rows, workload, order, freq) == 0.1 * (1000 + 500) + 1000
+    assert estimate.view_cost(["events"], scans, rows, workload, order, freq) == cost
+    assert estimate.best_view([["events"], ["orders"]], scans, rows, workload, order, freq) == ("orders",)
+    assert estimate.best_view([["events"]], scans, rows, workload, order, freq) == ()
+    assert estimate.view_size(10, workload, {"customer": ["c_custkey"]}) == 80
+    assert estimate.join_kinds(scans | {"customer": 2.0}, rows, workload, ["orders"], freq, ["orders"]) == {"orders": "lookup"}
+    assert estimate.join_kinds(scans, rows, workload, ["orders"], freq, []) == {"orders": "hash"}
+
+
+def test_running_a_workload(spark, tmp_path):
+    workload = read_workload(WORKLOADS / "customer_star.toml")
+    queries = read_queries(WORKLOADS / "customer_queries.toml", workload)
+    frames = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in workload.tables}
+    found = runner.gather(workload, queries.values(), frames, 16)
+    found.save(tmp_path / "statistics.json")
+    assert runner.Statistics.restored(tmp_path / "statistics.json") == found
+    query = queries["star_count"]
+    expected = star.star_join(workload, query, frames).first().n
+    plan = runner.choose(workload, query, frames, found, keyed=["orders", "events"])
+    assert sorted(plan.order) == ["events", "orders"] and plan.cost > 0
+    assert runner.planned(workload, query, frames, plan).first().n == expected
+    needed = {t: frames[t].select(*workload.tables[t].columns) for t in frames}
+    views = {(plan.order[0],): star.build_view(workload, [plan.order[0]], needed, str(tmp_path / "view"))}
+    by_view = runner.choose(workload, query, frames, found, list(views))
+    assert runner.planned(workload, query, frames, runner.Plan(plan.order, next(iter(views))), views).first().n == expected
+    assert by_view.cost <= plan.cost
+    uses = runner.advisor_uses(workload, queries.values(), frames, found)
+    assert {(u.source, u.target) for u in uses if u.query == "star_count"} >= {("customer", "orders"), ("orders", "events")}
+    assert all(0 <= u.selectivity <= 1 for u in uses) and advisors.place_bits(uses, 32)
+    runner.write_rows(tmp_path / "costs.csv", [{"query": "star_count", "cost": plan.cost}])
+    assert (tmp_path / "costs.csv").read_text().splitlines()[0] == "query,cost"
+
+
 def test_link_path():
     links = [("region", "nation"), ("nation", "customer"), ("customer", "orders"), ("orders", "lineitem")]
     assert star.link_path(links, "region", "orders") == ["region", "nation", "customer", "orders"]

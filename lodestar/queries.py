@@ -15,7 +15,7 @@ from lodestar.functions.predicates import Filter, Parameter, conjunction, decode
 from lodestar.operators import key_summary as ks
 from lodestar.operators import relational as rel
 from lodestar.operators import statistics as st
-from lodestar.plans import star
+from lodestar.plans import runner, star
 from lodestar.plans.workload import Query, Scan, Table, Workload, read_queries, read_workload
 from lodestar.sources.tables import read_parquet, update
 
@@ -324,6 +324,14 @@ def toml_star_count(spark, sf_dir):
     return star.star_join(workload, query, {t: table(spark, sf_dir, t) for t in workload.tables})
 
 
+@register("planned_star", star_sql(["lineitem", "orders", "part", "supplier"]))
+def planned_star(spark, sf_dir):
+    """The star by the order that gathered statistics make the cheapest."""
+    query, frames = star_query(["lineitem", "orders", "part", "supplier"]), star_frames(spark, sf_dir)
+    plan = runner.choose(LINEITEM_STAR, query, frames, runner.gather(LINEITEM_STAR, [query], frames), keyed=["orders", "part"])
+    return runner.planned(LINEITEM_STAR, query, frames, plan)
+
+
 # Statistics
 
 _PROFILED = ["o_custkey", "o_totalprice"]
@@ -345,9 +353,19 @@ def _rows(spark, histogram: st.Histogram) -> DataFrame:
     return spark.createDataFrame(rows, "bucket int, lo double, hi double, card long")
 
 
-for _name, _make in (("equidepth", st.equi_depth), ("equiwidth", st.equi_width), ("compressed", st.compressed)):
+_VALUES = "WITH RECURSIVE g AS (SELECT p_retailprice AS x, count(*) AS f FROM part WHERE p_retailprice IS NOT NULL GROUP BY 1), v AS (SELECT x, f, row_number() OVER (ORDER BY x) AS k, sum(f) OVER (ORDER BY x) AS c, lead(f) OVER (ORDER BY x) AS next_f FROM g), t AS (SELECT max(k) AS n, CASE WHEN max(k) <= 16 THEN 1 ELSE sum(f) / 16.0::DOUBLE END AS least, (max(x) - min(x)) / 16 AS width FROM v)"
+_ENDED = "b AS (SELECT e, coalesce(lag(e) OVER (ORDER BY e), 0) AS s FROM (SELECT k AS e FROM cuts WHERE k > 0 UNION SELECT n FROM t)) SELECT (row_number() OVER (ORDER BY e) - 1)::INT AS bucket, min(x) AS lo, max(x) AS hi, sum(f)::BIGINT AS card FROM b JOIN v ON k > s AND k <= e GROUP BY e"
+_HISTOGRAMS = {
+    # A bucket ends with the value that fills it; the last one takes the rest.
+    "equidepth": (st.equi_depth, f"{_VALUES}, cuts(i, k, c) AS (SELECT 0, 0::BIGINT, 0::HUGEINT UNION ALL SELECT i + 1, min(v.k), min(v.c) FROM cuts, v, t WHERE v.k > cuts.k AND v.c - cuts.c >= least AND i < 15 GROUP BY i), {_ENDED}"),
+    # A bucket starts with the first value that is over a width beyond the last one's start.
+    "equiwidth": (st.equi_width, f"{_VALUES}, cuts(k, x) AS (SELECT 0::BIGINT, min(x) FROM v UNION ALL SELECT min(v.k) - 1, min(v.x) FROM cuts, v, t WHERE v.x - cuts.x > width GROUP BY cuts.k), {_ENDED}"),
+    # As equi-depth, but a bucket also ends before a value that fills one alone.
+    "compressed": (st.compressed, f"{_VALUES}, cuts(k, c) AS (SELECT 0::BIGINT, 0::HUGEINT UNION ALL SELECT min(v.k), min(v.c) FROM cuts, v, t WHERE v.k > cuts.k AND (v.c - cuts.c >= least OR next_f >= least) GROUP BY cuts.k), {_ENDED}"),
+}
+for _name, (_make, _sql) in _HISTOGRAMS.items():
 
-    @register(f"hist_{_name}")
+    @register(f"hist_{_name}", _sql)
     def hist(spark, sf_dir, make=_make):
         return _rows(spark, make(table(spark, sf_dir, "part"), "p_retailprice", 16))
 

@@ -1,4 +1,4 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line deduplication: min-hashes of character runs, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components, load, shuffle_partitions, stored
 
 DISTANCE = 3
 SIMILARITY = 0.8
+#: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their runs of GRAM bytes.
+GRAM, BANDS, ROWS = 5, 16, 4
 FILTER_BITS = 24
 #: Lines of one block that a task compares at a time; larger blocks are cut into tiles of two such parts.
 TILE = 256
@@ -155,64 +158,98 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
-    """doc, print, line, key, simhash of each line that has a word."""
+    """doc, print, line, key of each line that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tk.utf8(batch.column(2))
             for a, b in tk.document_blocks(offsets):
-                owner, number, key, w = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                prints = tk.majority_bits(w.hash, w.first)
+                owner, number, key, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keep = np.flatnonzero(key)
                 take = pa.array(owner[keep] + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64)), pa.array(prints[keep].view(np.int64))],
-                    ["doc", "print", "line", "key", "simhash"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))],
+                    ["doc", "print", "line", "key"],
                 )
 
-    return _keyed(docs).mapInArrow(run, "doc long, print long, line int, key long, simhash long")
+    return _keyed(docs).mapInArrow(run, "doc long, print long, line int, key long")
 
 
-def close_prints(prints: DataFrame, n: int, distance: int) -> DataFrame:
-    """Those of the distinct simhash values that another one is within `distance` bits of; no pairs are made."""
-    orders = tables(n, distance)
-    spark = prints.sparkSession
-    slices = max(2 * shuffle_partitions(spark), n * len(orders) // (1 << 18)) // len(orders) + 1
+def line_bands(data: np.ndarray, w: tk.Words, lines: np.ndarray) -> np.ndarray:
+    """[lines, BANDS] values; those of a line depend on the runs of GRAM bytes of its words, each followed by a blank."""
+    counts = np.diff(w.first)[lines]
+    words = np.arange(int(counts.sum())) + np.repeat(w.first[:-1][lines] - (np.cumsum(counts) - counts), counts)
+    sizes = w.end[words] - w.start[words] + 1
+    stop = np.cumsum(sizes)
+    at = np.arange(int(sizes.sum())) + np.repeat(w.start[words] - (stop - sizes), sizes)
+    text = tk.LOWER[data[np.minimum(at, len(data) - 1)]]
+    text[stop - 1] = 32
+    first = np.append(0, stop)[np.append(0, np.cumsum(counts))]
+    run_at = tk.windows(first, GRAM)
+    hashes = tk.chain(tk.mix(text.astype(np.uint64) + np.uint64(1)), GRAM)[run_at]
+    return minhash.bands(hashes, np.searchsorted(run_at, first), BANDS, ROWS)
+
+
+def close_lines(docs: DataFrame, n: int) -> DataFrame:
+    """low: the low halves of the keys of lines that share a band with another line; no pairs are made.
+
+    A band's value goes out as 32 bits beside those that decide its slice, so a few lines are named that
+    share none; nothing but a longer list comes of it.
+    """
+    slices = max(2 * shuffle_partitions(docs.sparkSession), n * BANDS // (1 << 18)) // BANDS + 1
+    half = np.uint64(0xFFFFFFFF)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            for t, (_, *order) in enumerate(orders):
-                moved = np.sort(permuted(values, order))
-                # The lead decides the slice; mixed, as prints of similar lines crowd.
-                lead = moved >> np.uint64(64 - orders[t][0])
-                where = (tk.mix(lead) % np.uint64(slices)).astype(np.int64)
-                by = np.argsort(where, kind="stable")
-                edges = np.searchsorted(where[by], np.arange(slices + 1))
-                some = np.flatnonzero(np.diff(edges))
-                blobs = [moved[by[edges[s] : edges[s + 1]]].tobytes() for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), t, np.int32)), pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["table", "slice", "prints"])
+            data, offsets = tk.utf8(batch.column(2))
+            for a, b in tk.document_blocks(offsets):
+                part = data[offsets[a] : offsets[b]]
+                _, _, key, w = _lines(part, offsets[a : b + 1] - offsets[a])
+                names, lines = np.unique(key, return_index=True)
+                lines = lines[names > 0]
+                values = line_bands(part, w, lines)
+                some = np.flatnonzero(line_lengths(w, lines) >= GRAM)
+                for t in range(BANDS):
+                    where = ((values[some, t] >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+                    entries = (values[some, t] << np.uint64(32)) | (key[lines[some]] & half)
+                    by = np.argsort(where, kind="stable")
+                    edges = np.searchsorted(where[by], np.arange(slices + 1))
+                    full = np.flatnonzero(np.diff(edges))
+                    blobs = [entries[by[edges[s] : edges[s + 1]]].tobytes() for s in full]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), t, np.int32)), pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["band", "slice", "entries"])
 
     def near(table: pa.Table) -> pa.Table:
-        t = table.column("table")[0].as_py()
-        moved = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("prints").to_pylist()]))
-        lead = moved >> np.uint64(64 - orders[t][0])
-        close = np.zeros(len(moved), bool)
-        left = np.arange(len(moved))
-        step = 1
-        while len(left):
-            left = left[left + step < len(moved)]
-            left = left[lead[left] == lead[left + step]]
-            test = left[~(close[left] & close[left + step])]
-            hit = test[np.bitwise_count(moved[test] ^ moved[test + step]) <= distance]
-            close[hit] = True
-            close[hit + step] = True
-            step += 1
-        back = restored(moved[close], orders[t][1:])
-        return pa.table([pa.array(back.view(np.int64))], ["simhash"])
-
-    dealt = prints.select("simhash").mapInArrow(deal, "table int, slice int, prints binary")
-    return dealt.groupBy("table", "slice").applyInArrow(near, "simhash long").distinct()
+        entries = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("entries").to_pylist()]))
+        like = np.flatnonzero((entries[1:] >> np.uint64(32)) == (entries[:-1] >> np.uint64(32)))
+        low = entries[np.union1d(like, like + 1)] & half
+        return pa.table([pa.array(low.astype(np.int64))], ["low"])
+
+    dealt = _keyed(docs).mapInArrow(deal, "band int, slice int, entries binary")
+    return dealt.groupBy("band", "slice").applyInArrow(near, "low long").distinct()
+
+
+def line_lengths(w: tk.Words, lines: np.ndarray) -> np.ndarray:
+    """The bytes of each line's words, a blank after each."""
+    total = np.append(0, np.cumsum(w.end - w.start + 1))
+    return total[w.first[lines + 1]] - total[w.first[lines]]
+
+
+def banded(lines: DataFrame) -> DataFrame:
+    """lines (key, normal) with their bands; lines shorter than GRAM have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.utf8(batch.column(1))
+            for a, b in tk.document_blocks(offsets):
+                part = data[offsets[a] : offsets[b]]
+                w = tk.words(part, offsets[a : b + 1] - offsets[a], tk.NON_WORD)
+                lines_ = np.arange(b - a)
+                values = line_bands(part, w, lines_).view(np.int64)
+                long = line_lengths(w, lines_) >= GRAM
+                lists = pa.array([v if some else [] for v, some in zip(values, long, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, batch.column(1).slice(a, b - a)], ["key", "bands", "normal"])
+
+    return lines.select("key", "normal").mapInArrow(run, "key long, bands array<long>, normal string")
 
 
 def restored(moved: np.ndarray, order: list[int]) -> np.ndarray:
@@ -224,7 +261,7 @@ def restored(moved: np.ndarray, order: list[int]) -> np.ndarray:
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (key, simhash, first) with the normal form of each line, from a second pass over the text.
+    """wanted (key, first) with the normal form of each line, from a second pass over the text.
 
     Only the lines that are some key's first occurrence are needed.  A filter of fixed size drops nearly all
     others by their place alone; the join settles the rest.
@@ -249,8 +286,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), forms], ["doc", "print", "line", "normal"])
 
     found = _keyed(docs).mapInArrow(run, "doc long, print long, line int, normal string")
-    keys = wanted.select("key", "simhash", "first.doc", "first.print", "first.line")
-    return found.join(keys, ["doc", "print", "line"]).groupBy("key", "simhash").agg(F.min("normal").alias("normal"))
+    keys = wanted.select("key", "first.doc", "first.print", "first.line")
+    return found.join(keys, ["doc", "print", "line"]).groupBy("key").agg(F.min("normal").alias("normal"))
 
 
 def links(lines: DataFrame, n: int, distance: int, similarity: float) -> DataFrame:
@@ -318,24 +355,21 @@ def links(lines: DataFrame, n: int, distance: int, similarity: float) -> DataFra
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def deduplicated(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every row of docs as (row, n_lines, removed, kept): row holds all columns, removed the numbers of the lines cut, kept the text.
 
     Lines are the parts between line feeds.  A line's normal form is its words (lower-cased, without
-    punctuation).  Lines of equal form are one; different ones are linked if their SimHashes (over words)
-    differ in `distance` bits at most and their forms have an edit similarity of `similarity` at least.  Of
-    all occurrences of a connected group one is kept, that of the smallest (doc_id, line).  Lines without a
+    punctuation).  Lines of equal form are one; different ones are linked if their forms have an edit
+    similarity of `similarity` at least; candidates are lines that share a band of min-hashes.  Of all occurrences of a connected group one is kept, that of the smallest (doc_id, line).  Lines without a
     word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
     repeated; a null doc_id comes after all others.
     """
     lines = stored(all_lines(docs))
-    distinct = stored(lines.groupBy("key").agg(F.min("simhash").alias("simhash"), F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n")))
-    prints = distinct.groupBy("simhash").agg(F.count("*").alias("n"))
-    n = prints.count()
-    close = close_prints(prints, n, distance).unionByName(prints.where("n > 1").select("simhash")).distinct()
-    near = stored(distinct.join(close, "simhash").select("key", "simhash", "first"))
-    named = stored(line_texts(docs, near))
-    roots = components(links(named, n, distance, similarity)).withColumnRenamed("node", "key")
+    distinct = stored(lines.groupBy("key").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n")))
+    close = close_lines(docs, distinct.count())
+    near = stored(distinct.withColumn("low", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).join(close, "low", "left_semi").select("key", "first"))
+    named = stored(banded(line_texts(docs, near)))
+    roots = components(minhash.links(named, "normal", lambda a, b: similar(a, b, similarity), once=False)).withColumnRenamed("node", "key")
     groups = distinct.join(roots, "key", "left")
     # Only lines that occur again or are linked are looked up; of the others there is one occurrence, which stays.
     groups = groups.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))

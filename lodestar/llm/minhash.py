@@ -46,11 +46,12 @@ def bands(hashes: np.ndarray, first: np.ndarray, n_bands: int, rows: int) -> np.
     return value
 
 
-def links(rows: DataFrame, form: str, same: Callable) -> DataFrame:
+def links(rows: DataFrame, form: str, same: Callable, once: bool = True) -> DataFrame:
     """Links (a, b) that connect all rows (key, bands, form) that share a band and of whose forms same() is true.
 
-    A pair is looked at in the first band it shares only, and not if earlier links connect it already, so a
-    block of many like rows costs about one comparison a row.  A block of over TILE rows is dealt to tiles,
+    A pair is not looked at if earlier links of its block connect it already, so a block of many like rows
+    costs about one comparison a row; with `once`, for which the bands travel along, in the first band it
+    shares only.  A block of over TILE rows is dealt to tiles,
     every two parts of it meeting in one.
     """
     filed = rows.select("key", F.explode("bands").alias("block"))
@@ -59,12 +60,12 @@ def links(rows: DataFrame, form: str, same: Callable) -> DataFrame:
     met = met.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("key", "block", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    met = met.join(rows.select("key", "bands", form), "key")
-    met = met.select(F.xxhash64("block", "i", "j").alias("group"), "block", "i", "j", "key", "mine", "bands", form)
+    met = met.join(rows.select("key", form, *(["bands"] if once else [])), "key")
+    met = met.select(F.xxhash64("block", "i", "j").alias("group"), "block", "i", "j", "key", "mine", form, *(["bands"] if once else []))
 
     def verify(held: list[tuple]) -> list[tuple[int, int]]:
         block, i, j = held[0][0], held[0][1], held[0][2]
-        values = np.array([r[5] for r in held], np.int64)
+        values = np.array([r[6] for r in held], np.int64) if once else None
         mine = np.array([r[4] for r in held])
         parent = list(range(len(held)))
 
@@ -76,12 +77,11 @@ def links(rows: DataFrame, form: str, same: Callable) -> DataFrame:
 
         found = []
         for x in range(len(held) - 1):
-            shared = values[x + 1 :] == values[x]
-            fit = values[x][shared.argmax(axis=1)] == block
+            fit = values[x][(values[x + 1 :] == values[x]).argmax(axis=1)] == block if once else np.ones(len(held) - x - 1, bool)
             if i != j:
                 fit &= mine[x + 1 :] != mine[x]  # the others meet in a tile of their own part
             for y in (np.flatnonzero(fit) + x + 1).tolist():
-                if root(x) != root(y) and same(held[x][6], held[y][6]):
+                if root(x) != root(y) and same(held[x][5], held[y][5]):
                     parent[root(y)] = root(x)
                     found.append((held[x][3], held[y][3]))
         return found
@@ -91,7 +91,7 @@ def links(rows: DataFrame, form: str, same: Callable) -> DataFrame:
         name = None
         found: list[tuple[int, int]] = []
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(1, 8)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(1, batch.num_columns)), strict=True):
                 if row[:3] != name:
                     found += verify(held) if len(held) > 1 else []
                     held, name = [], row[:3]

@@ -1,8 +1,12 @@
 """Places where a stage or operator once did less than its whole job."""
 
 import random
+import re
+
+import numpy as np
 
 import corpus_pipeline
+from lodestar.llm import line_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -39,3 +43,41 @@ def test_near_duplicates_reach_the_similarity(spark):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(rows)), SCHEMA), "")
     assert len(pairs) > 100 and len(set(root)) < len(rows)
     assert {r.doc_id for r in kept.collect()} == set(root)
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    """All pairs of sf0.001's lines: of those with edit similarity 0.8, all but a few end in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    forms = {}
+    for r in docs.orderBy("doc_id").collect():
+        for line in (r.text or "").split("\n"):
+            form = b" ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]+", lambda m: m[0].lower(), line.encode()))).decode()
+            if form:
+                forms.setdefault(form, len(forms))
+    forms = list(forms)
+    counts = np.array([np.bincount(np.frombuffer(f.encode("utf-32-le"), np.uint32) % 64, minlength=64) for f in forms])
+    size = np.array([len(f) for f in forms])
+    pairs = []
+    for x in range(len(forms)):
+        # No edit changes more than one letter for another: a bound that loses no pair.
+        bound = np.maximum(np.maximum(counts[x + 1 :] - counts[x], 0).sum(axis=1), np.maximum(counts[x] - counts[x + 1 :], 0).sum(axis=1))
+        for y in np.flatnonzero(bound <= 0.2 * np.maximum(size[x + 1 :], size[x]) + 1e-9) + x + 1:
+            if line_dedup.similar(forms[x], forms[y], 0.8):
+                pairs.append((x, int(y)))
+    rows = spark.createDataFrame(list(enumerate(forms)), SCHEMA)
+    out = {r.doc_id: bool(r.removed) for r in line_dedup.deduplicated(rows).select("row.doc_id", "removed").collect()}
+    caught = sum(out[y] for _, y in pairs)
+    assert len(pairs) > 40 and caught >= 0.97 * len(pairs)
+    linked = {x for p in pairs for x in p}
+    assert all(not cut or d in linked for d, cut in out.items())
+
+
+def test_lines_with_one_letter_changed(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10)))
+    lines = [" ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(300)]
+    place = [rng.randrange(len(t)) for t in lines]
+    changed = [t[:k] + "0" + t[k + 1 :] for t, k in zip(lines, place, strict=True)]
+    out = line_dedup.deduplicated(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], SCHEMA))
+    removed = {r.doc_id: len(r.removed) for r in out.select("row.doc_id", "removed").collect()}
+    assert removed[1] == 0 and removed[2] >= 297

@@ -67,11 +67,10 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -500, 500)))
 
 
-def features(data: np.ndarray, offsets: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+def _values(data: np.ndarray, offsets: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """For each document and landmark the largest kernel value of any of its words, 0 if under FLOOR.
 
-    A word's value sums over the subsequences that start in it (they may run on into the next word, which
-    catches letters set apart).  A first pass takes, for each subsequence, the most that any landmark gives
+    A word's value sums over the subsequences that start in it (they may run on into the next word).  A first pass takes, for each subsequence, the most that any landmark gives
     for it; only words that reach FLOOR so are compared with each landmark.
     """
     n_docs = len(offsets) - 1
@@ -116,6 +115,61 @@ def features(data: np.ndarray, offsets: np.ndarray, landmarks: np.ndarray) -> np
     return np.minimum(out, 1.5)
 
 
+def _alternate(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of every second byte of each word, from the first and from the second: what one character between all letters hides."""
+    w = tk.words(data, offsets, tk.WHITESPACE, lower=False, hashed=False)
+    long = np.flatnonzero(w.end - w.start >= 5)
+    sizes = w.end[long] - w.start[long]
+    half = (sizes + 1) // 2
+    first = np.append(0, np.cumsum(sizes + 2))
+    owner = np.repeat(np.arange(len(long)), sizes)
+    k = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    second = k >= half[owner]
+    out = np.full(int(first[-1]), 32, np.uint8)
+    out[first[:-1][owner] + k + second] = data[w.start[long][owner] + np.where(second, 2 * (k - half[owner]) + 1, 2 * k)]
+    return out, first[np.searchsorted(long, w.first)]
+
+
+def _joined(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts of words with other characters between their letters, without these, and of runs of one-letter words, each as one."""
+    w = tk.words(data, offsets, tk.WHITESPACE, lower=False, hashed=False)
+    letter = _SYMBOL[data] > 0
+    before = np.append(0, np.cumsum(letter))
+    some = np.flatnonzero(before[w.end] > before[w.start])
+    low, high, doc = before[w.start[some]], before[w.end[some]], w.doc[some]
+    n = high - low
+    places = np.append(np.flatnonzero(letter), 0)
+    span = places[high - 1] - places[low] + 1
+    heads = np.append(0, np.cumsum(letter & ((data < 0x80) | (data >= 0xC0))))
+    single = heads[w.end[some]] - heads[w.start[some]] == 1
+    on = np.ones(len(n), bool)  # a run of one-letter words, or a word of its own, starts here
+    on[1:] = ~(single[1:] & single[:-1] & (doc[1:] == doc[:-1]))
+    run = np.cumsum(on) - 1
+    kept = np.flatnonzero(np.where(single, np.bincount(run)[run] >= 3, (n >= 3) & (span > n)))
+    group = np.cumsum(on[kept]) - 1
+    first = np.append(0, np.cumsum(n[kept]))
+    at = np.arange(int(first[-1])) + np.repeat(low[kept] - first[:-1], n[kept])
+    groups = np.append(group, group[-1] + 1 if len(group) else 0)
+    out = np.full(int(first[-1] + groups[-1]), 32, np.uint8)
+    out[np.arange(len(at)) + np.repeat(group, n[kept])] = data[places[at]]
+    edge = np.searchsorted(some[kept], w.first)
+    return out, first[edge] + groups[edge]
+
+
+def features(data: np.ndarray, offsets: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """For each document and landmark the largest kernel value of any of its words, as written or with its letters drawn together.
+
+    Gaps between all letters leave too little of a word's kernel value to tell it from a clean one, so words
+    are compared without them as well: every second byte, and letters only, one-letter words in a row as one.
+    """
+    out = _values(data, offsets, landmarks)
+    for a, b in tk.document_blocks(offsets):
+        part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        for view in (_alternate, _joined):
+            np.maximum(out[a:b], _values(*view(part, at), landmarks), out=out[a:b])
+    return out
+
+
 def choose_landmarks(held: list[list[int]], grade: np.ndarray, names: list[str], most: int) -> list[str]:
     """Greedy cover: strings that many toxic and hardly any other documents hold, each document counting less once covered."""
     members: dict[int, list[int]] = {}

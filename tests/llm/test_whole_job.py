@@ -4,9 +4,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from lodestar.llm import line_dedup
+from lodestar.llm import line_dedup, toxicity
+from lodestar.llm import textkernel as tk
 
 SCHEMA = "doc_id long, text string"
 
@@ -81,3 +83,14 @@ def test_lines_with_one_letter_changed(spark):
     out = line_dedup.deduplicated(spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(changed))], SCHEMA))
     removed = {r.doc_id: len(r.removed) for r in out.select("row.doc_id", "removed").collect()}
     assert removed[1] == 0 and removed[2] >= 297
+
+
+def test_toxic_words_with_gaps():
+    names = ["idiot", "clown", "stupid", "pathetic"]
+    vectors = [toxicity.embed(n.encode()) for n in names]
+    landmarks = np.array([v / float(v @ v) for v in vectors], np.float32).T.copy()
+    for join in (".".join, " ".join, "x".join, "-".join, " . ".join, "..".join, ". ".join):
+        texts = ["", *(f"the day was {join(n)}, he said" for n in names), "the day was long and I like a book"]
+        found = toxicity.features(*tk.utf8(pa.array(texts)), landmarks)
+        assert (found[np.arange(1, 5), np.arange(4)] >= 0.9).all(), join("abc")
+        assert (found[0] == 0).all() and (found[5] == 0).all()

@@ -94,3 +94,19 @@ def test_toxic_words_with_gaps():
         found = toxicity.features(*tk.utf8(pa.array(texts)), landmarks)
         assert (found[np.arange(1, 5), np.arange(4)] >= 0.9).all(), join("abc")
         assert (found[0] == 0).all() and (found[5] == 0).all()
+
+
+def test_near_duplicates_without_an_id(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    other, third = text.replace("w", "x"), text.replace("w", "y")
+    rows = [(None, text), (5, text), (5, text), (7, other), (7, text), (None, third), (None, third), (9, None), (None, "")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(5, text), (7, other), (0, third), (9, "")])
+
+
+def test_decontamination_by_row(spark, tmp_path):
+    item = " ".join(f"i{k}" for k in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, item), (None, "a clean text"), (3, item), (3, "another clean text"), (4, "more of it"), (4, "more of it")]
+    kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "a clean text"), (3, "another clean text"), (4, "more of it"), (4, "more of it")]

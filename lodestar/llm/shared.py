@@ -34,11 +34,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: for what is too large for checkpoint()'s plain rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestar-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

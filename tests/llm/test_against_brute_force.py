@@ -220,24 +220,64 @@ def test_containment(spark):
     assert "4" in found[60]["items"] and found[60].n_hit == len(docs[60])
 
 
+def mixture(events, n_buckets=24, rounds=60):
+    """Weights of the pair, word and uniform estimates for each bucket, by expectation-maximisation over (bucket, ratios) events."""
+    weights = [[0.0, 0.8, 0.2]] + [[0.4, 0.4, 0.2] for _ in range(n_buckets - 1)]
+    for _ in range(rounds):
+        found = [[0.0] * 3 for _ in weights]
+        for (b, ratios), n in events.items():
+            parts = [w * r for w, r in zip(weights[b], ratios, strict=True)]
+            for k in range(3):
+                found[b][k] += n * parts[k] / sum(parts)
+        for b in range(1, n_buckets):
+            prior = weights[b - 1] if b > 1 else weights[b]
+            weights[b] = [(f + 2 * p) / (sum(found[b]) + 2) for f, p in zip(found[b], prior, strict=True)]
+        weights[0] = [(f + p) / (sum(found[0]) + 2) for f, p in zip(found[0], (0, 1, 1), strict=True)]
+    least = [[max(w, m) for w, m in zip(row, (0, 1e-7, 1e-7), strict=True)] for row in weights]
+    return [[w / sum(row) for w in row] for row in least]
+
+
 def test_language_model(spark, texts):
     tokens = {d: [*lower(t).split(), None] for d, t in texts.items()}
     train = [d for d in tokens if zlib.crc32(str(d).encode()) % 7 != 2]
     counts = Counter(w for d in train for w in tokens[d])
     total, distinct = sum(counts.values()), len(counts)
-    pairs = Counter(p for d in train for p in zip([None, *tokens[d]], tokens[d], strict=False))
+    pairs_of = {d: list(zip([None, *words], words, strict=False)) for d, words in tokens.items()}
+    pairs = Counter(p for d in train for p in pairs_of[d])
+    bucket = lambda n: min(23, n.bit_length())
+    binned = lambda p: 2.0 ** (round(math.log2(p * (distinct + 1)) * 8) / 8) if p > 0 else 0.0
+    events = Counter()
+    for d in tokens:
+        if zlib.crc32(str(d).encode()) % 7 == 3:
+            for h, w in pairs_of[d]:
+                events[bucket(counts[h] - 1), (binned((pairs[h, w] - 1) / max(1, counts[h] - 1)), binned((counts[w] - 1) / (total - 1)), 1.0)] += 1
+    weights = mixture(events)
     out = QUERIES["op5_interpolated_lm"](spark, SMALL).collect()
+    assert len(out) == len(tokens)
     for r in out:
         words = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(w in counts for w in words), total)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words), rel_tol=1e-9)
-        # Whatever the weights, a token has no less than the uniform share and no more than its best estimate.
-        most = sum(math.log10(max(pairs[p] / max(1, counts[p[0]]), counts[p[1]] / total, 1 / (distinct + 1))) for p in zip([None, *words], words, strict=False))
-        assert r.score <= most + 1e-6
+        score = 0.0
+        for h, w in pairs_of[r.doc_id]:
+            pair, word, uniform = weights[bucket(counts[h])]
+            score += math.log10(pair * pairs[h, w] / max(1, counts[h]) + word * counts[w] / total + uniform / (distinct + 1))
+        assert math.isclose(r.score, score, rel_tol=1e-6)
     held = [r for r in out if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_in_many_chunks(spark, monkeypatch):
+    """Small chunks, all rows under one id or none: the same scores as in one chunk."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.lit(3).cast("long").alias("doc_id"), "text")
+    for rows in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        whole = sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in interpolated_lm.scored(rows).collect())
+        with monkeypatch.context() as m:
+            m.setattr(interpolated_lm, "CHUNK_BYTES", 5000)
+            parts = sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in interpolated_lm.scored(rows).collect())
+        assert len(whole) == len(parts) and np.allclose(whole, parts, rtol=1e-9)
+
+
 def test_mixture_weights():
     events = np.array([[3, 512 + 80, 512 + 16], [3, -1, 512 + 16]])
     weights = interpolated_lm.learn(events, np.array([900, 100]))

@@ -1,9 +1,8 @@
-"""Fuzzy line deduplication: min-hashes of character runs, edit similarity, connected groups."""
+"""Fuzzy line deduplication: bands of normalised lines, edit similarity, connected groups."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +11,19 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import components, load, shuffle_partitions, stored
+from lodestar.llm.minhash import connected
+from lodestar.llm.shared import load, shuffle_partitions, stored
 
-DISTANCE = 3
 SIMILARITY = 0.8
-#: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their runs of GRAM bytes.
-GRAM, BANDS, ROWS = 5, 16, 4
+#: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their words and pairs of words.
+BANDS, ROWS = 20, 4
+#: Lines of 4 words up to this many have their halves in place of the last four bands.
+SHORT = 15
+#: Entries that a task holds before it sends them, and entries of a slice.
+FLUSH, SLICE = 1 << 20, 1 << 18
 FILTER_BITS = 24
-#: Lines of one block that a task compares at a time; larger blocks are cut into tiles of two such parts.
-TILE = 256
 _LAST = np.iinfo(np.int64).max
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -56,7 +58,35 @@ def similar(a: str, b: str, least: float) -> bool:
     # What both begin and end with costs nothing.
     head = _common(lambda n: a[:n] == b[:n], shorter)
     tail = _common(lambda n: a[len(a) - n :] == b[len(b) - n :], shorter - head)
-    return 1 - edit_distance(a[head : len(a) - tail], b[head : len(b) - tail]) / longer >= least - 1e-9
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    most = (1 - least) * longer + 1e-6
+    # The distance of two beginnings of one length, less the difference in length, is no more than that of the whole.
+    n = int(3 * most)
+    if 2 * n < 3 * min(len(a), len(b)) and edit_distance(a[:n], b[:n]) - abs(len(a) - len(b)) > most:
+        return False
+    return 1 - edit_distance(a, b) / longer >= least - 1e-9
+
+
+class EditSimilar(minhash.Same):
+    """similar() of two lines; the bound: of two texts, letters that the other lacks must be edited."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def __call__(self, a: str, b: str) -> bool:
+        return similar(a, b, self.least)
+
+    def near(self, forms: list[str]) -> Callable[[int], np.ndarray]:
+        letters = [np.frombuffer(f.encode("utf-32-le"), np.uint32) for f in forms]
+        bags = np.array([np.bincount(x % 64, minlength=64) for x in letters], np.int32)
+        size = np.array([len(x) for x in letters])
+
+        def fit(x: int) -> np.ndarray:
+            differ = bags[x + 1 :] - bags[x]
+            apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
+            return apart <= (1 - self.least) * np.maximum(size[x + 1 :], size[x]) + 1e-6
+
+        return fit
 
 
 #: How far to look ahead in either line for the next word they share, nearest first.
@@ -87,40 +117,6 @@ def _common(same, most: int) -> int:
     return low
 
 
-def tables(n_lines: int, distance: int = DISTANCE) -> list[list[int]]:
-    """Bit orders of the block tables: in each, the leading bits are blocks of which two close fingerprints share one choice.
-
-    Of b blocks, fingerprints within `distance` bits share b - distance.  b is the least that makes the shared
-    bits select among n_lines; more lines need more blocks, the pairs found are the same.
-    """
-    n_blocks = distance + 2
-    while n_blocks < 9 and 64 * (n_blocks - distance) // n_blocks < np.log2(max(2, n_lines)) + 3:
-        n_blocks += 1
-    edges = [64 * k // n_blocks for k in range(n_blocks + 1)]
-    blocks = [list(range(edges[k + 1] - 1, edges[k] - 1, -1)) for k in range(n_blocks)]
-    out = []
-    for chosen in combinations(range(n_blocks), n_blocks - distance):
-        lead = [bit for k in chosen for bit in blocks[k]]
-        rest = [bit for k in range(n_blocks) if k not in chosen for bit in blocks[k]]
-        out.append([len(lead), *lead, *rest])
-    return out
-
-
-def permuted(prints: np.ndarray, order: list[int]) -> np.ndarray:
-    """The fingerprints with their bits in the order given, the first at the top."""
-    out = np.zeros(len(prints), np.uint64)
-    runs: list[list[int]] = []
-    for bit in order:
-        if runs and runs[-1][-1] - 1 == bit:
-            runs[-1].append(bit)
-        else:
-            runs.append([bit])
-    for run in runs:
-        part = (prints >> np.uint64(run[-1])) & np.uint64((1 << len(run)) - 1)
-        out = (out << np.uint64(len(run))) | part if len(run) < 64 else part
-    return out
-
-
 def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, document, number within it) of every line."""
     breaks = np.flatnonzero(data == 10) + 1
@@ -175,102 +171,141 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc long, print long, line int, key long")
 
 
-def line_bands(data: np.ndarray, w: tk.Words, lines: np.ndarray) -> np.ndarray:
-    """[lines, BANDS] values; those of a line depend on the runs of GRAM bytes of its words, each followed by a blank."""
+def line_bands(w: tk.Words, lines: np.ndarray) -> np.ndarray:
+    """[lines, BANDS] values of the lines of these numbers, each with a word: by their words and pairs of neighbouring words.
+
+    Short lines keep too little of both where a word differs, so they are filed under their halves as well, as
+    they are and as if they had a word less: whatever differs in one word, or by one, shares one of the two.
+    """
     counts = np.diff(w.first)[lines]
-    words = np.arange(int(counts.sum())) + np.repeat(w.first[:-1][lines] - (np.cumsum(counts) - counts), counts)
-    sizes = w.end[words] - w.start[words] + 1
-    stop = np.cumsum(sizes)
-    at = np.arange(int(sizes.sum())) + np.repeat(w.start[words] - (stop - sizes), sizes)
-    text = tk.LOWER[data[np.minimum(at, len(data) - 1)]]
-    text[stop - 1] = 32
-    first = np.append(0, stop)[np.append(0, np.cumsum(counts))]
-    run_at = tk.windows(first, GRAM)
-    hashes = tk.chain(tk.mix(text.astype(np.uint64) + np.uint64(1)), GRAM)[run_at]
-    return minhash.bands(hashes, np.searchsorted(run_at, first), BANDS, ROWS)
-
-
-def close_lines(docs: DataFrame, n: int) -> DataFrame:
-    """low: the low halves of the keys of lines that share a band with another line; no pairs are made.
-
-    A band's value goes out as 32 bits beside those that decide its slice, so a few lines are named that
-    share none; nothing but a longer list comes of it.
+    first = np.append(0, np.cumsum(counts))
+    at = np.arange(first[-1]) + np.repeat(w.first[:-1][lines] - first[:-1], counts)
+    last = np.zeros(len(at), bool)
+    last[first[1:] - 1] = True
+    pairs = np.append(tk.chain(w.hash, 2), np.zeros(1, np.uint64))[at[~last]]
+    out = minhash.bands([(w.hash[at], first), (pairs, first - np.arange(len(first)))], len(lines), BANDS, ROWS)
+    short = np.flatnonzero((counts >= 4) & (counts <= SHORT))
+    powers = tk._power_tables(SHORT)[0]
+    for band, (less, end) in enumerate(((0, False), (0, True), (1, False), (1, True)), BANDS - 4):
+        n = counts[short] - less
+        size = n - n // 2 if end else n // 2
+        some, size = short[size > 1], size[size > 1]
+        if len(some):
+            edge = np.append(0, np.cumsum(size))
+            rank = np.arange(edge[-1]) - np.repeat(edge[:-1], size)
+            start = first[some] + (counts[some] - size if end else 0)
+            total = np.add.reduceat(w.hash[at[np.repeat(start, size) + rank]] * powers[rank], edge[:-1])
+            out[some, band] = tk.mix(total + (size + 64 * end).astype(np.uint64))
+    return out
+
+
+def block_links(docs: DataFrame, n: int) -> DataFrame:
+    """(block, a, b): links that tie the keys of all lines together that share a band's value, the block.
+
+    A task links the lines that it holds itself to the first of them, and sends only that one on, so a value
+    that is everywhere costs an entry a task.  Slices of the values are streamed through: the first key of
+    a value is what the later ones are linked to.  A block is named by 32 bits of the value beside those that
+    decide its slice, so a few lines are tied that share none; nothing but a comparison comes of it.
     """
-    slices = max(2 * shuffle_partitions(docs.sparkSession), n * BANDS // (1 << 18)) // BANDS + 1
-    half = np.uint64(0xFFFFFFFF)
+    spark = docs.sparkSession
+    slices = min(1 << 30, max(2 * shuffle_partitions(spark), n * BANDS // SLICE + 1))
+
+    def tie(name: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, first): entries by name, and for each the place of the first of its name."""
+        order = np.argsort(name, kind="stable")
+        start = np.flatnonzero(np.append(True, name[order][1:] != name[order][:-1]))[: len(order)]
+        return order, np.repeat(start, np.diff(np.append(start, len(order))))
+
+    def send(keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, at = np.unique(np.concatenate(keys), return_index=True)
+        value = np.concatenate(values)[at].ravel()
+        key = np.repeat(key, BANDS)
+        name = (((value >> np.uint64(32)) % np.uint64(slices)) << np.uint64(32)) | (value & _LOW)
+        order, first = tie(name, key)
+        name, key = name[order], key[order]
+        place = np.arange(len(key))
+        heads, later = np.flatnonzero(first == place), np.flatnonzero((first != place) & (key != key[first]))
+        part = (name >> np.uint64(32)).astype(np.int64)
+        found = np.unique(part)
+        edges, edges_later = (np.searchsorted(part[x], np.append(found, slices)) for x in (heads, later))
+        for some in np.array_split(np.arange(len(found)), 1 + len(found) // 1024):
+            entries, ties = [], []
+            for k in some:
+                h, t = heads[edges[k] : edges[k + 1]], later[edges_later[k] : edges_later[k + 1]]
+                entries.append((name[h] & _LOW).astype(np.uint32).tobytes() + key[h].tobytes())
+                ties.append(name[t].tobytes() + key[first[t]].tobytes() + key[t].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(found[some].astype(np.int32)), pa.array(entries, pa.binary()), pa.array(ties, pa.binary())], ["slice", "entries", "ties"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, values, held = [], [], 0
         for batch in batches:
             data, offsets = tk.utf8(batch.column(2))
             for a, b in tk.document_blocks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                _, _, key, w = _lines(part, offsets[a : b + 1] - offsets[a])
+                _, _, key, w = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names, lines = np.unique(key, return_index=True)
-                lines = lines[names > 0]
-                values = line_bands(part, w, lines)
-                some = np.flatnonzero(line_lengths(w, lines) >= GRAM)
-                for t in range(BANDS):
-                    where = ((values[some, t] >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
-                    entries = (values[some, t] << np.uint64(32)) | (key[lines[some]] & half)
-                    by = np.argsort(where, kind="stable")
-                    edges = np.searchsorted(where[by], np.arange(slices + 1))
-                    full = np.flatnonzero(np.diff(edges))
-                    blobs = [entries[by[edges[s] : edges[s + 1]]].tobytes() for s in full]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), t, np.int32)), pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["band", "slice", "entries"])
-
-    def near(table: pa.Table) -> pa.Table:
-        entries = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("entries").to_pylist()]))
-        like = np.flatnonzero((entries[1:] >> np.uint64(32)) == (entries[:-1] >> np.uint64(32)))
-        low = entries[np.union1d(like, like + 1)] & half
-        return pa.table([pa.array(low.astype(np.int64))], ["low"])
-
-    dealt = _keyed(docs).mapInArrow(deal, "band int, slice int, entries binary")
-    return dealt.groupBy("band", "slice").applyInArrow(near, "low long").distinct()
+                names, lines = names[names > 0], lines[names > 0]
+                if len(names):
+                    keys.append(names)
+                    values.append(line_bands(w, lines))
+                    held += len(names) * BANDS
+                if held >= FLUSH:
+                    yield from send(keys, values)
+                    keys, values, held = [], [], 0
+        if held:
+            yield from send(keys, values)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, names, leads = None, np.zeros(0, np.uint32), np.zeros(0, np.uint64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def batch_of(block: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (block, a, b)], ["block", "a", "b"])
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal names, leads
+            if not waiting:
+                return
+            name, key = np.concatenate([names, *(x for x, _ in waiting)]), np.concatenate([leads, *(k for _, k in waiting)])
+            waiting.clear()
+            order, first = tie(name, key)
+            name, key = name[order], key[order]
+            place = np.arange(len(key))
+            later = np.flatnonzero((first != place) & (key != key[first]))
+            names, leads = name[first == place], key[first == place]
+            if len(later):
+                yield batch_of(name[later].astype(np.uint64) | np.uint64(current << 32), key[first[later]], key[later])
 
-
-def line_lengths(w: tk.Words, lines: np.ndarray) -> np.ndarray:
-    """The bytes of each line's words, a blank after each."""
-    total = np.append(0, np.cumsum(w.end - w.start + 1))
-    return total[w.first[lines + 1]] - total[w.first[lines]]
-
-
-def banded(lines: DataFrame) -> DataFrame:
-    """lines (key, normal) with their bands; lines shorter than GRAM have none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tk.utf8(batch.column(1))
-            for a, b in tk.document_blocks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                w = tk.words(part, offsets[a : b + 1] - offsets[a], tk.NON_WORD)
-                lines_ = np.arange(b - a)
-                values = line_bands(part, w, lines_).view(np.int64)
-                long = line_lengths(w, lines_) >= GRAM
-                lists = pa.array([v if some else [] for v, some in zip(values, long, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, batch.column(1).slice(a, b - a)], ["key", "bands", "normal"])
-
-    return lines.select("key", "normal").mapInArrow(run, "key long, bands array<long>, normal string")
-
-
-def restored(moved: np.ndarray, order: list[int]) -> np.ndarray:
-    """The inverse of permuted()."""
-    out = np.zeros(len(moved), np.uint64)
-    for place, bit in enumerate(order):
-        out |= ((moved >> np.uint64(63 - place)) & np.uint64(1)) << np.uint64(bit)
-    return out
+            for part, entries, ties in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != current:
+                    yield from settle()
+                    current, names, leads = part, names[:0], leads[:0]
+                count = len(entries) // 12
+                waiting.append((np.frombuffer(entries, np.uint32, count), np.frombuffer(entries, np.uint64, count, 4 * count)))
+                if ties:
+                    yield batch_of(*np.frombuffer(ties, np.uint64).reshape(3, -1))
+                if sum(len(x) for x, _ in waiting) >= FLUSH:
+                    yield from settle()
+        yield from settle()
+
+    dealt = _keyed(docs).mapInArrow(deal, "slice int, entries binary, ties binary")
+    return dealt.repartition(shuffle_partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(stream, "block long, a long, b long")
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (key, first) with the normal form of each line, from a second pass over the text.
+    """key, normal: the normal form of each line of wanted (key, first), from another pass over the text.
 
     Only the lines that are some key's first occurrence are needed.  A filter of fixed size drops nearly all
     others by their place alone; the join settles the rest.
     """
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    top = F.shiftrightunsigned(F.col("first.doc").bitwiseXOR(F.col("first.print")), 64 - FILTER_BITS).cast("int")
-    marked = wanted.select(top.bitwiseXOR(F.col("first.line").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).alias("p")).distinct()
-    bits[marked.toArrow().column("p").to_numpy()] = True
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+    top = F.shiftrightunsigned(F.col("first.doc").bitwiseXOR(F.col("first.print")), 64 - FILTER_BITS)
+    place = top.bitwiseXOR(F.col("first.line").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("long")) + 1
+    marked = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for r in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_pylist():
+        start = (r["bucket"] - 1) * 4096
+        bits[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = sent.value
@@ -290,90 +325,26 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(keys, ["doc", "print", "line"]).groupBy("key").agg(F.min("normal").alias("normal"))
 
 
-def links(lines: DataFrame, n: int, distance: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the lines (key, simhash, normal) that connect whatever is close and similar.
-
-    Lines that share a block choice meet in a task.  There a pair is looked at in the first table it shares
-    only, compared by SimHash, and edit similarity is worked out unless earlier links connect the pair
-    already, so a block of many like lines costs about one comparison a line, and emits no more than one
-    link a line.  A block of over TILE lines is dealt to tiles, every two parts of it meeting in one.
-    """
-    orders = tables(n, distance)
-    lead_masks = [sum(1 << b for b in order[1 : 1 + order[0]]) for order in orders]
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    keys = [F.struct(F.lit(t).alias("t"), F.col("simhash").bitwiseAND(F.lit(signed(m)).cast("long")).alias("v")) for t, m in enumerate(lead_masks)]
-    filed = lines.select("key", "simhash", F.explode(F.array(*keys)).alias("block"))
-    sizes = filed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes, "block").select("key", "simhash", F.col("block.t").alias("t"), F.col("block.v").alias("v"), F.ceil(F.col("n") / TILE).alias("parts"))
-    mine = F.pmod(F.xxhash64("key"), F.col("parts"))
-    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
-    met = met.join(lines.select("key", "normal"), "key")
-    met = met.select(F.xxhash64("t", "v", "i", "j").alias("group"), "t", "v", "i", "j", "key", "simhash", "normal")
-
-    def verify(rows: list[tuple]) -> list[tuple[int, int]]:
-        t = rows[0][0]
-        prints = np.array([r[2] for r in rows], np.int64).view(np.uint64)
-        parent = list(range(len(rows)))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        found = []
-        for x in range(len(rows) - 1):
-            differ = prints[x + 1 :] ^ prints[x]
-            for y in (np.flatnonzero(np.bitwise_count(differ) <= distance) + x + 1).tolist():
-                bits = int(differ[y - x - 1])
-                if any(not bits & lead_masks[k] for k in range(t)) or root(x) == root(y):
-                    continue
-                if similar(rows[x][3], rows[y][3], similarity):
-                    parent[root(y)] = root(x)
-                    found.append((rows[x][1], rows[y][1]))
-        return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        name = None
-        found: list[tuple[int, int]] = []
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(8)]
-            for group, t, v, i, j, key, simhash, normal in zip(*columns, strict=True):
-                if (group, t, v, i, j) != name:
-                    found += verify(held) if len(held) > 1 else []
-                    held, name = [], (group, t, v, i, j)
-                held.append((t, key, simhash, normal))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-                found = []
-        found += verify(held) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-
-    dealt = met.repartition(shuffle_partitions(lines.sparkSession), "group").sortWithinPartitions("group", "t", "v", "i", "j", "key")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Every row of docs as (row, n_lines, removed, kept): row holds all columns, removed the numbers of the lines cut, kept the text.
 
     Lines are the parts between line feeds.  A line's normal form is its words (lower-cased, without
-    punctuation).  Lines of equal form are one; different ones are linked if their forms have an edit
-    similarity of `similarity` at least; candidates are lines that share a band of min-hashes.  Of all occurrences of a connected group one is kept, that of the smallest (doc_id, line).  Lines without a
-    word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
+    punctuation).  Lines of equal form are one; different ones are linked if they share a band and their forms
+    have an edit similarity of `similarity` at least, whatever else the band holds.  Of all occurrences of a
+    connected group one is kept, that of the smallest (doc_id, line).  Lines without a word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
     repeated; a null doc_id comes after all others.
     """
     lines = stored(all_lines(docs))
     distinct = stored(lines.groupBy("key").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n")))
-    close = close_lines(docs, distinct.count())
-    near = stored(distinct.withColumn("low", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).join(close, "low", "left_semi").select("key", "first"))
-    named = stored(banded(line_texts(docs, near)))
-    roots = components(minhash.links(named, "normal", lambda a, b: similar(a, b, similarity), once=False)).withColumnRenamed("node", "key")
+    links = stored(block_links(docs, distinct.count()))
+    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    forms = stored(line_texts(docs, stored(distinct.join(near, "key", "left_semi").select("key", "first"))))
+    roots = connected(links, forms, EditSimilar(similarity)).withColumnRenamed("node", "key")
     groups = distinct.join(roots, "key", "left")
     # Only lines that occur again or are linked are looked up; of the others there is one occurrence, which stays.
-    groups = groups.where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "key"))
-    kept = groups.groupBy("root").agg(F.min("first").alias("kept"))
+    groups = stored(groups.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")))
+    # Written, so that the join is one of two shuffled sides, of which a hot root's can be split.
+    kept = stored(groups.groupBy("root").agg(F.min("first").alias("kept")))
     again = groups.join(kept, "root").select("key", "kept")
     cut = lines.join(again, "key").where("struct(doc, print, line) <> kept")
     cut = cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))

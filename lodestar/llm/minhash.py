@@ -1,4 +1,4 @@
-"""Candidates by bands of min-hashes, verified in blocks; near copies by the Jaccard similarity of their shingles."""
+"""Bands of min-hashes, groups connected through what shares a band, and near copies by the Jaccard similarity of shingles."""
 
 from __future__ import annotations
 
@@ -12,64 +12,106 @@ from pyspark.sql import functions as F
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components, shuffle_partitions, stored
 
-#: Rows of one block that a task compares at a time; larger blocks are cut into tiles of two such parts.
+#: Rows of one part of a block; a task compares two parts at a time.
 TILE = 256
 #: At similarity 0.8, 24 bands of 5 miss a pair with odds of (1 - 0.8^5)^24, under 1 in 10,000.
 BANDS, ROWS = 24, 5
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def bands(hashes: np.ndarray, first: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
-    """[groups, n_bands] values; two groups hashes[first[g]:first[g+1]] share one with odds of similarity^rows.
+def bands(parts: list[tuple[np.ndarray, np.ndarray]], n: int, n_bands: int, rows: int) -> np.ndarray:
+    """[n, n_bands] values; two of the n groups share one with odds of the similarity of their features to the power rows.
 
-    One hash a feature: its value picks the place and the smallest stays there.  An empty place takes the
-    value of another one, drawn at random but the same for all groups.
+    parts: (hashes, first) of features, those of group g being hashes[first[g]:first[g+1]]; a group has at
+    least one feature in one of the parts.  Each min-hash takes the features in an order of its own.
     """
-    n, m = len(first) - 1, n_bands * rows
-    owner = np.repeat(np.arange(n), np.diff(first))
-    spread = tk.mix(hashes ^ np.uint64(0x5BD1E995))
-    place = ((spread >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-    least = np.full(n * m, _NONE)
-    np.minimum.at(least, owner * m + place.astype(np.int64), tk.mix(spread))
-    least = least.reshape(n, m)
-    out = least.copy()
-    draw = np.random.default_rng(42)
-    some = np.diff(first) > 0
-    while True:
-        at, empty = np.nonzero((out == _NONE) & some[:, None])
-        if not len(at):
-            break
-        out[at, empty] = least[at, draw.integers(0, m, m)[empty]]
-    value = np.repeat(tk.mix(np.arange(1, n_bands + 1, dtype=np.uint64))[None, :], n, axis=0)
-    for k in range(rows):
-        value = tk.mix(value * np.uint64(0xFF51AFD7ED558CCD) + out[:, k::rows])
-    return value
-
-
-def links(rows: DataFrame, form: str, same: Callable, once: bool = True) -> DataFrame:
-    """Links (a, b) that connect all rows (key, bands, form) that share a band and of whose forms same() is true.
-
-    A pair is not looked at if earlier links of its block connect it already, so a block of many like rows
-    costs about one comparison a row; with `once`, for which the bands travel along, in the first band it
-    shares only.  A block of over TILE rows is dealt to tiles,
-    every two parts of it meeting in one.
+    odd = np.random.default_rng(42).integers(1, 1 << 31, n_bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+    ready = []
+    for hashes, first in parts:
+        some = np.flatnonzero(np.diff(first))
+        ready.append(((hashes >> np.uint64(32)).astype(np.uint32), first[:-1][some], some))
+    out = np.empty((n, n_bands), np.uint64)
+    for b in range(n_bands):
+        value = np.full(n, b + 1, np.uint64)
+        for k in range(rows):
+            least = np.full(n, 0xFFFFFFFF, np.uint32)
+            for low, start, some in ready:
+                if len(some):
+                    least[some] = np.minimum(least[some], np.minimum.reduceat(low * odd[b * rows + k], start))
+            value = tk.mix(value * np.uint64(0xFF51AFD7ED558CCD) + least)
+        out[:, b] = value
+    return out
+
+
+class Same:
+    """Whether two forms are alike: __call__ decides, near(forms)(x) marks those after the x-th that may be, a quick bound."""
+
+    def __call__(self, a, b) -> bool:
+        raise NotImplementedError
+
+    def near(self, forms: list) -> Callable[[int], np.ndarray]:
+        return lambda x: np.ones(len(forms) - x - 1, bool)
+
+
+class Jaccard(Same):
+    """Sets of 64-bit values (ascending, as bytes) with a Jaccard similarity of at least `least`."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def __call__(self, a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        if min(len(x), len(y)) < self.least * max(len(x), len(y)) - 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= self.least * (len(x) + len(y) - both) - 1e-9
+
+    def near(self, forms: list) -> Callable[[int], np.ndarray]:
+        size = np.array([len(f) for f in forms])
+        return lambda x: np.minimum(size[x + 1 :], size[x]) >= self.least * np.maximum(size[x + 1 :], size[x]) - 1e-6
+
+
+def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _alike(pairs: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
+    """Those of the pairs (a, b) whose forms are alike."""
+    right = pairs.join(forms.toDF("b", "right"), "b")
+    both = right.join(forms.toDF("a", "left"), "a").select("a", "b", "left", "right")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fit = [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(fit, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _rest(members: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
+    """Links (a, b) between members (block, key, root) of one block but different roots that are alike, a spanning set of them.
+
+    Members are dealt to parts of TILE rows; of the block's most common root, whose members are connected
+    already, no two parts meet, so the work follows what is not connected.  Every other two parts meet in a
+    task of their own.
     """
-    filed = rows.select("key", F.explode("bands").alias("block"))
-    sizes = filed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1")
-    met = filed.join(sizes, "block").select("key", "block", F.ceil(F.col("n") / TILE).alias("parts"))
-    met = met.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("key", "block", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    met = met.join(rows.select("key", form, *(["bands"] if once else [])), "key")
-    met = met.select(F.xxhash64("block", "i", "j").alias("group"), "block", "i", "j", "key", "mine", form, *(["bands"] if once else []))
-
-    def verify(held: list[tuple]) -> list[tuple[int, int]]:
-        block, i, j = held[0][0], held[0][1], held[0][2]
-        values = np.array([r[6] for r in held], np.int64) if once else None
-        mine = np.array([r[4] for r in held])
-        parent = list(range(len(held)))
-
-        def root(x: int) -> int:
+    of_root = members.groupBy("block", "root").agg(F.count("*").alias("n"))
+    sizes = of_root.groupBy("block").agg(F.max_by("root", "n").alias("top"), F.max("n").alias("n_top"), F.sum("n").alias("n"))
+    parts = sizes.select("block", "top", F.ceil(F.col("n_top") / TILE).alias("tops"), F.ceil((F.col("n") - F.col("n_top")) / TILE).alias("others"))
+    met = members.join(stored(parts), "block").withColumn("is_top", F.col("root") == F.col("top"))
+    mine = F.pmod(F.xxhash64("key"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others")))
+    met = met.withColumn("mine", F.when(F.col("is_top"), F.col("others") + mine).otherwise(mine))
+    number = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+    met = met.withColumn("other", F.explode(number(F.when(F.col("is_top"), F.col("others")).otherwise(F.col("others") + F.col("tops")))))
+    met = met.select("key", "root", "mine", "block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    met = met.join(forms.toDF("key", "form"), "key").select(F.xxhash64("block", "i", "j").alias("tile"), "block", "i", "j", "key", "root", "mine", "form")
+
+    def compare(held: list[tuple]) -> list[tuple[int, int]]:
+        forms_ = [r[6] for r in held]
+        near = same.near(forms_)
+        apart, mine = held[0][1] != held[0][2], np.array([r[5] for r in held])
+        parent = {r[4]: r[4] for r in held}
+
+        def top(x: int) -> int:
             while parent[x] != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
@@ -77,35 +119,52 @@ def links(rows: DataFrame, form: str, same: Callable, once: bool = True) -> Data
 
         found = []
         for x in range(len(held) - 1):
-            fit = values[x][(values[x + 1 :] == values[x]).argmax(axis=1)] == block if once else np.ones(len(held) - x - 1, bool)
-            if i != j:
-                fit &= mine[x + 1 :] != mine[x]  # the others meet in a tile of their own part
+            fit = near(x) & (mine[x + 1 :] != mine[x]) if apart else near(x)
             for y in (np.flatnonzero(fit) + x + 1).tolist():
-                if root(x) != root(y) and same(held[x][5], held[y][5]):
-                    parent[root(y)] = root(x)
+                a, b = top(held[x][4]), top(held[y][4])
+                if a != b and same(forms_[x], forms_[y]):
+                    parent[b] = a
                     found.append((held[x][3], held[y][3]))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        name = None
-        found: list[tuple[int, int]] = []
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(1, batch.num_columns)), strict=True):
-                if row[:3] != name:
-                    found += verify(held) if len(held) > 1 else []
-                    held, name = [], row[:3]
+                if held and row[:3] != held[0][:3]:
+                    yield _pair_batch(compare(held))
+                    held = []
                 held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
-                found = []
-        found += verify(held) if len(held) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        if held:
+            yield _pair_batch(compare(held))
 
-    dealt = met.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group", "block", "i", "j", "key")
+    dealt = met.repartition(shuffle_partitions(members.sparkSession), "tile").sortWithinPartitions("tile", "block", "i", "j", "key")
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def connected(links: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
+    """(node, root) of all keys that are connected by pairs that share a block and are alike.
+
+    links (block, a, b) tie the members of each block together, one link a member or so; forms are (key, form).
+    First the links themselves are tried, which connects most of what is alike; then, in blocks that are not
+    connected as a whole by then, every two members that are not.  So no block's pairs are all emitted, and
+    no two alike members of a block stay apart.
+    """
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    good = stored(_alike(pairs, forms, same))
+    roots = stored(components(good))
+    members = links.select("block", F.col("a").alias("key")).unionByName(links.select("block", F.col("b").alias("key"))).distinct()
+    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("root"))
+    members = stored(members)
+    # The two members of a block of two were a pair already.
+    open_ = members.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    open_ = stored(open_.where("n > 2 and low <> high").select("block"))
+    if open_.isEmpty():
+        return roots
+    late = stored(_rest(members.join(open_, "block"), forms, same))
+    return components(good.unionByName(late)) if not late.isEmpty() else roots
+
+
 def _shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from row, to row, hashes, first hash of each row) of blocks of texts; a text shorter than a shingle has one of all its words."""
     whole, bounds = tk.utf8(column)
@@ -136,24 +195,13 @@ def _sets(docs: DataFrame, size: int, with_bands: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([key, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
                     continue
                 prints = [int(tk.mix(np.array([np.add.reduce(tk.mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in sets]
-                values = bands(hashes, first, BANDS, ROWS)
+                values = bands([(hashes, first)], y - x, BANDS, ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, BANDS), pa.int32()), pa.array(values.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["key", "print", "bands"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, print long, bands array<long>" if with_bands else "key long, shingles binary")
 
 
-def jaccard_at_least(least: float) -> Callable[[bytes, bytes], bool]:
-    def same(a: bytes, b: bytes) -> bool:
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
-            return False
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return both >= least * (len(x) + len(y) - both) - 1e-9
-
-    return same
-
-
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """key, root: rows of one root are connected by pairs whose sets of `size`-word shingles have Jaccard `similarity` at least.
 
@@ -163,10 +211,9 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     prints = stored(_sets(docs, size, True))
     nodes = stored(prints.groupBy("print").agg(F.min(F.struct("key", "bands")).alias("m")).select("print", "m.key", "m.bands"))
     filed = nodes.select("key", F.explode("bands").alias("block"))
-    full = filed.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
-    near = nodes.join(filed.join(full, "block").select("key").distinct(), "key", "left_semi").select("key", "bands")
-    wanted = _sets(docs.join(near.select("key"), "key", "left_semi"), size, False)
-    rows = stored(near.join(wanted, "key"))
-    roots = components(links(rows, "shingles", jaccard_at_least(similarity))).withColumnRenamed("node", "key")
+    leaders = stored(filed.groupBy("block").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("block", "a"))
+    links = stored(filed.join(leaders, "block").where("key <> a").select("block", "a", F.col("key").alias("b")))
+    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    roots = connected(links, stored(_sets(docs.join(near, "key", "left_semi"), size, False)), Jaccard(similarity)).withColumnRenamed("node", "key")
     named = nodes.select("print", "key").join(roots, "key", "left").select("print", F.coalesce("root", "key").alias("root"))
     return prints.select("key", "print").join(named, "print").select("key", "root")

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, interpolated_lm, line_dedup, maxscore, mixing, simhash, suffix_dedup
+from lodestar.llm import decontaminate, interpolated_lm, line_dedup, maxscore, minhash, mixing, simhash, suffix_dedup
 from lodestar.llm import textkernel as tk
 from lodestar.llm.queries import QUERIES
 from lodestar.llm.shared import components
@@ -57,8 +57,8 @@ def test_longest_previous_factor(data, cap, seed):
     assert suffix_dedup.longest_previous_factor(np.frombuffer(data, np.uint8), at, owner, cap).tolist() == expected
 
 
-@given(st.text(alphabet="abc", max_size=12), st.text(alphabet="abc", max_size=12))
-@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abc", max_size=40), st.text(alphabet="abc", max_size=40))
+@settings(max_examples=400, deadline=None)
 def test_edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, c in enumerate(a, 1):
@@ -72,14 +72,6 @@ def test_edit_distance(a, b):
         assert line_dedup.similar(a, b, least) == (not longer or 1 - row[-1] / longer >= least - 1e-9)
 
 
-def test_block_tables():
-    values = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64)
-    for n in (10, 1 << 31):
-        for _, *order in line_dedup.tables(n):
-            assert sorted(order) == list(range(64))
-            assert (line_dedup.restored(line_dedup.permuted(values, order), order) == values).all()
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 480)] + [(500, k) for k in range(500, 560)]
@@ -136,17 +128,18 @@ def test_simhash_links_planted(spark):
 
 
 def test_lines(spark, texts):
-    where, forms = defaultdict(list), []
+    """All pairs of lines that share a band and have an edit similarity of 0.8, whatever else there is."""
+    import pyarrow as pa
+
+    where = defaultdict(list)
     for d, text in sorted(texts.items()):
         for i, line in enumerate(text.split("\n")):
             form = b" ".join(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(line))).decode()
             if form:
                 where[form].append((d, i))
-    import pyarrow as pa
-
     forms = list(where)
     w = tk.words(*tk.utf8(pa.array(forms)), tk.NON_WORD)
-    prints = tk.majority_bits(w.hash, w.first)
+    bands = line_dedup.line_bands(w, np.arange(len(forms)))
     parent = list(range(len(forms)))
 
     def root(x):
@@ -155,8 +148,9 @@ def test_lines(spark, texts):
         return x
 
     for x in range(len(forms)):
-        for y in np.flatnonzero(np.bitwise_count(prints[x + 1 :] ^ prints[x]) <= 3) + x + 1:
-            if line_dedup.similar(forms[x], forms[y], 0.8):
+        for y in np.flatnonzero((bands[x + 1 :] == bands[x]).any(axis=1)) + x + 1:
+            longer = max(len(forms[x]), len(forms[y]))
+            if 1 - line_dedup.edit_distance(forms[x], forms[y]) / longer >= 0.8:
                 parent[root(int(y))] = root(x)
     groups = defaultdict(list)
     for k, form in enumerate(forms):
@@ -168,15 +162,53 @@ def test_lines(spark, texts):
         assert out[d] == (sum(p[0] == d for p in cut), hashlib.sha256(kept.encode()).hexdigest())
 
 
+def test_line_links_of_small_slices(spark, texts, monkeypatch):
+    """Whatever the sizes, the links tie together what shares a band's value, and hardly anything else."""
+    import pyarrow as pa
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(5)
+    _, _, key, w = line_dedup._lines(*tk.utf8(pa.array(list(texts.values()))))
+    key, at = np.unique(key, return_index=True)
+    values = line_dedup.line_bands(w, at[key > 0])
+    key = key[key > 0].view(np.int64)
+    for flush, size in ((1 << 20, 1 << 18), (300, 50)):
+        monkeypatch.setattr(line_dedup, "FLUSH", flush)
+        monkeypatch.setattr(line_dedup, "SLICE", size)
+        links = line_dedup.block_links(docs, 2000).collect()
+        assert all(r.a != r.b for r in links)
+        top = {r.node: r.root for r in components(spark.createDataFrame(links).select("a", "b")).collect()}
+        tied = set()
+        for band in values.T:
+            for v in np.unique(band)[np.unique(band, return_counts=True)[1] > 1]:
+                held = key[band == v].tolist()
+                tied |= set(held)
+                assert len({top[k] for k in held}) == 1
+        assert len(tied) > 20 and len(set(top) - tied) <= 2
+
+
 def test_like_lines_in_tiles(spark, monkeypatch):
-    """One block of more lines than a tile holds: all are connected, through no more links than lines a tile."""
-    monkeypatch.setattr(line_dedup, "TILE", 8)
-    base = " ".join(f"w{i}" for i in range(300))
-    rows = [(k, 7, base.replace("w150", f"v{k}")) for k in range(40)]
-    links = line_dedup.links(spark.createDataFrame(rows, "key long, simhash long, normal string"), 40, 3, 0.8)
-    roots = components(links)
-    assert roots.count() == 40 and roots.select("root").distinct().count() == 1
-    assert links.count() < 40 * 39 / 2
+    """A block of more lines than a tile holds, tied to a line that none is like: what is alike is connected all the same."""
+    monkeypatch.setattr(minhash, "TILE", 8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(base).replace("w50", f"v{k}")) for k in range(1, 41)]
+    own = {k: " ".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=80)) for k in range(50, 65)}
+    rows += [(k, own[k // 2] + " y" * (k % 2)) for k in range(100, 130)] + [(0, "a line of its own")]
+    forms = spark.createDataFrame(rows, "key long, form string")
+    links = spark.createDataFrame([(7, 0, k) for k, _ in rows if k], "block long, a long, b long")
+    groups = defaultdict(set)
+    for r in minhash.connected(links, forms, line_dedup.EditSimilar(0.8)).collect():
+        groups[r.root].add(r.node)
+    assert sorted(map(sorted, groups.values())) == sorted([list(range(1, 41))] + [[k, k + 1] for k in range(100, 130, 2)])
+
+
+@given(st.lists(st.text(alphabet="abé ", max_size=12), min_size=2, max_size=8), st.sampled_from([0.5, 0.8]))
+@settings(max_examples=80, deadline=None)
+def test_bound_of_edit_similarity(forms, least):
+    same = line_dedup.EditSimilar(least)
+    near = same.near(forms)
+    for x in range(len(forms) - 1):
+        for y, may in enumerate(near(x), x + 1):
+            assert may or not same(forms[x], forms[y])
 
 
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(1, 5)), max_size=40, unique_by=lambda p: p[0]), st.integers(0, 8), st.integers(1, 5))

@@ -15,27 +15,37 @@ from lodestar.llm.minhash import connected
 from lodestar.llm.shared import load, shuffle_partitions, stored
 
 SIMILARITY = 0.8
-#: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their words and pairs of words.
-BANDS, ROWS = 20, 4
+#: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their pairs of words, each with its place in stretches of STRETCH words.
+BANDS, ROWS, STRETCH = 16, 3, 16
+#: Lines that share a band are compared if this share of all their min-hashes is equal: with an edit similarity of 0.8 it is.
+AGREE = 0.25
 #: Lines of 4 words up to this many have their halves in place of the last four bands.
 SHORT = 15
-#: Entries that a task holds before it sends them, and entries of a slice.
-FLUSH, SLICE = 1 << 20, 1 << 18
+#: Entries that a task holds before it sends them, and bytes of the table for each slice.
+FLUSH, SLICE_BYTES = 1 << 20, 4 << 20
 FILTER_BITS = 24
 _LAST = np.iinfo(np.int64).max
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as the bits of two integers."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance, a column of the table at a time as the bits of two integers; some number over `most` if it is more.
+
+    The distance of two beginnings of one length, less the difference in length, is no more than that of the whole.
+    """
     if not a or not b:
         return max(len(a), len(b))
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    full, top, apart = (1 << len(a)) - 1, 1 << (len(a) - 1), abs(len(a) - len(b))
     more, less, distance = full, 0, len(a)  # rows at which the column's value goes up or down by one
-    for c in b:
+    for j, c in enumerate(b):
+        if j & 31 == 0 and most < j < len(a):
+            head = (1 << j) - 1
+            beginnings = j + (more & head).bit_count() - (less & head).bit_count()
+            if beginnings - apart > most:
+                return beginnings - apart
         match = where.get(c, 0)
         diagonal = (((match & more) + more) ^ more) | match | less
         right_more, right_less = less | (full & ~(diagonal | more)), more & diagonal
@@ -60,31 +70,51 @@ def similar(a: str, b: str, least: float) -> bool:
     tail = _common(lambda n: a[len(a) - n :] == b[len(b) - n :], shorter - head)
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     most = (1 - least) * longer + 1e-6
-    # The distance of two beginnings of one length, less the difference in length, is no more than that of the whole.
-    n = int(3 * most)
-    if 2 * n < 3 * min(len(a), len(b)) and edit_distance(a[:n], b[:n]) - abs(len(a) - len(b)) > most:
-        return False
-    return 1 - edit_distance(a, b) / longer >= least - 1e-9
+    distance = edit_distance(a, b, most)
+    return distance <= most and 1 - distance / longer >= least - 1e-9
 
 
 class EditSimilar(minhash.Same):
-    """similar() of two lines; the bound: of two texts, letters that the other lacks must be edited."""
+    """similar() of two lines, given as forms: the line's sketch and its text.
+
+    Compared are lines whose sketches agree in AGREE of their bytes, in the block of the first band that they
+    share; one of the last four bands, which may be halves, counts if there is no other.  near() also has an
+    exact bound: of two texts, letters that the other lacks must be edited.
+    """
 
     def __init__(self, least: float):
         self.least = least
 
-    def __call__(self, a: str, b: str) -> bool:
-        return similar(a, b, self.least)
-
-    def near(self, forms: list[str]) -> Callable[[int], np.ndarray]:
-        letters = [np.frombuffer(f.encode("utf-32-le"), np.uint32) for f in forms]
-        bags = np.array([np.bincount(x % 64, minlength=64) for x in letters], np.int32)
-        size = np.array([len(x) for x in letters])
+    def __call__(self, a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.uint8, BANDS * ROWS), np.frombuffer(b, np.uint8, BANDS * ROWS)
+        if np.count_nonzero(x == y) < AGREE * BANDS * ROWS:
+            return False
+        return similar(a[BANDS * ROWS :].decode(), b[BANDS * ROWS :].decode(), self.least)
+
+    def near(self, forms: list[bytes], block: int) -> Callable[[int], np.ndarray]:
+        sketch = np.array([np.frombuffer(f, np.uint8, BANDS * ROWS) for f in forms])
+        agree, before = np.zeros((len(forms), len(forms)), np.uint8), np.zeros((len(forms), len(forms)), bool)
+        for band in range(BANDS):
+            whole = np.ones_like(before)
+            for k in range(band * ROWS, band * ROWS + ROWS):
+                equal = sketch[:, None, k] == sketch[None, :, k]
+                agree += equal
+                whole &= equal
+            if band < min(block % BANDS, BANDS - 4):
+                before |= whole
+        fits = (agree >= AGREE * BANDS * ROWS) & ~before
+        # Bytes for letters: a letter may have four bytes, of which only the first is counted.
+        heads = [np.frombuffer(f[BANDS * ROWS :].translate(_HEAD), np.uint8) for f in forms]
+        bags = np.array([np.bincount(h, minlength=64)[1:] for h in heads], np.int32)
+        size = bags.sum(axis=1)
 
         def fit(x: int) -> np.ndarray:
-            differ = bags[x + 1 :] - bags[x]
+            out = fits[x, x + 1 :].copy()
+            some = np.flatnonzero(out)
+            differ = bags[x + 1 :][some] - bags[x]
             apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
-            return apart <= (1 - self.least) * np.maximum(size[x + 1 :], size[x]) + 1e-6
+            out[some] = apart <= (1 - self.least) * np.maximum(size[x + 1 :][some], size[x]) + 1e-6
+            return out
 
         return fit
 
@@ -141,49 +171,42 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner, number, key, w
 
 
+#: First bytes of letters, in 1 to 63; the others are 0.
+_HEAD = bytes(0 if 0x80 <= b < 0xC0 else 1 + b % 63 for b in range(256))
 _TO_BLANK = tk.LOWER.copy()
 _TO_BLANK[tk.NON_WORD[tk.LOWER]] = 32
 
 
-def _normal(line: np.ndarray) -> str:
-    return b" ".join(_TO_BLANK[line].tobytes().split()).decode()
+def _normal(line: np.ndarray) -> bytes:
+    return b" ".join(_TO_BLANK[line].tobytes().split())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("print"), "text")
 
 
-def all_lines(docs: DataFrame) -> DataFrame:
-    """doc, print, line, key of each line that has a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tk.utf8(batch.column(2))
-            for a, b in tk.document_blocks(offsets):
-                owner, number, key, _ = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                keep = np.flatnonzero(key)
-                take = pa.array(owner[keep] + a)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))],
-                    ["doc", "print", "line", "key"],
-                )
-
-    return _keyed(docs).mapInArrow(run, "doc long, print long, line int, key long")
+_READ = pa.schema([("doc", pa.int64()), ("print", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("slice", pa.int32()), ("entries", pa.binary()), ("ties", pa.binary())])
 
 
-def line_bands(w: tk.Words, lines: np.ndarray) -> np.ndarray:
-    """[lines, BANDS] values of the lines of these numbers, each with a word: by their words and pairs of neighbouring words.
+def line_bands(w: tk.Words, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[lines, BANDS] values, and sketches, of the lines of these numbers, each with a word: by their pairs of neighbouring words.
 
-    Short lines keep too little of both where a word differs, so they are filed under their halves as well, as
-    they are and as if they had a word less: whatever differs in one word, or by one, shares one of the two.
+    A pair counts with the stretch of the line that it is in, so that lines are not drawn together by a passage
+    which both hold somewhere.  Short lines keep too little where a word differs, so they are filed under their
+    halves as well, as they are and as if they had a word less: whatever differs in one word, or by one, shares
+    one of the two.
     """
     counts = np.diff(w.first)[lines]
     first = np.append(0, np.cumsum(counts))
-    at = np.arange(first[-1]) + np.repeat(w.first[:-1][lines] - first[:-1], counts)
-    last = np.zeros(len(at), bool)
-    last[first[1:] - 1] = True
-    pairs = np.append(tk.chain(w.hash, 2), np.zeros(1, np.uint64))[at[~last]]
-    out = minhash.bands([(w.hash[at], first), (pairs, first - np.arange(len(first)))], len(lines), BANDS, ROWS)
+    rank = np.arange(first[-1]) - np.repeat(first[:-1], counts)
+    at = rank + np.repeat(w.first[:-1][lines], counts)
+    pairs = np.append(tk.chain(w.hash, 2), np.zeros(1, np.uint64))[at] + (rank // STRETCH).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    # The last word is in no other pair; it stands alone if there is no other.
+    last = first[1:] - 1
+    pairs[last] = w.hash[at[last]]
+    keep = np.ones(len(at), bool)
+    keep[last[counts > 1]] = False
+    out, sketch = minhash.bands(tk.mix(pairs[keep]), first - np.append(0, np.cumsum(counts > 1)), BANDS, ROWS)
     short = np.flatnonzero((counts >= 4) & (counts <= SHORT))
     powers = tk._power_tables(SHORT)[0]
     for band, (less, end) in enumerate(((0, False), (0, True), (1, False), (1, True)), BANDS - 4):
@@ -196,19 +219,22 @@ def line_bands(w: tk.Words, lines: np.ndarray) -> np.ndarray:
             start = first[some] + (counts[some] - size if end else 0)
             total = np.add.reduceat(w.hash[at[np.repeat(start, size) + rank]] * powers[rank], edge[:-1])
             out[some, band] = tk.mix(total + (size + 64 * end).astype(np.uint64))
-    return out
+    return out, sketch
 
 
-def block_links(docs: DataFrame, n: int) -> DataFrame:
-    """(block, a, b): links that tie the keys of all lines together that share a band's value, the block.
+def read_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, print, line, key) of each line that has a word, and links (block, a, b): one pass over the text.
 
-    A task links the lines that it holds itself to the first of them, and sends only that one on, so a value
-    that is everywhere costs an entry a task.  Slices of the values are streamed through: the first key of
-    a value is what the later ones are linked to.  A block is named by 32 bits of the value beside those that
-    decide its slice, so a few lines are tied that share none; nothing but a comparison comes of it.
+    The links tie the keys of all lines together that share a band's value, the block.  A task links the lines
+    that it holds itself to the first of them, and sends only that one on, so a value that is everywhere costs
+    an entry a task.  Slices of the values are streamed through: the first key of a value is what the later ones
+    are linked to.  A block is named by its band and 28 bits of the value beside those that decide its slice, so
+    a few lines are tied that share none; nothing but a comparison comes of it.
     """
     spark = docs.sparkSession
-    slices = min(1 << 30, max(2 * shuffle_partitions(spark), n * BANDS // SLICE + 1))
+    few = 2 * shuffle_partitions(spark)
+    # By the size that Catalyst expects: it only decides how many entries a slice has.
+    slices = min(512 * few, max(few, int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SLICE_BYTES))
 
     def tie(name: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(order, first): entries by name, and for each the place of the first of its name."""
@@ -218,9 +244,11 @@ def block_links(docs: DataFrame, n: int) -> DataFrame:
 
     def send(keys: list[np.ndarray], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, at = np.unique(np.concatenate(keys), return_index=True)
-        value = np.concatenate(values)[at].ravel()
+        value = np.concatenate(values)[at]
+        low = value & _LOW
+        low += np.arange(BANDS, dtype=np.uint64) - low % np.uint64(BANDS)
         key = np.repeat(key, BANDS)
-        name = (((value >> np.uint64(32)) % np.uint64(slices)) << np.uint64(32)) | (value & _LOW)
+        name = ((((value >> np.uint64(32)) % np.uint64(slices)) << np.uint64(32)) | low).ravel()
         order, first = tie(name, key)
         name, key = name[order], key[order]
         place = np.arange(len(key))
@@ -234,19 +262,24 @@ def block_links(docs: DataFrame, n: int) -> DataFrame:
                 h, t = heads[edges[k] : edges[k + 1]], later[edges_later[k] : edges_later[k + 1]]
                 entries.append((name[h] & _LOW).astype(np.uint32).tobytes() + key[h].tobytes())
                 ties.append(name[t].tobytes() + key[first[t]].tobytes() + key[t].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found[some].astype(np.int32)), pa.array(entries, pa.binary()), pa.array(ties, pa.binary())], ["slice", "entries", "ties"])
+            columns = {"slice": pa.array(found[some].astype(np.int32)), "entries": pa.array(entries, pa.binary()), "ties": pa.array(ties, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(some), f.type)) for f in _READ], schema=_READ)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values, held = [], [], 0
         for batch in batches:
             data, offsets = tk.utf8(batch.column(2))
             for a, b in tk.document_blocks(offsets):
-                _, _, key, w = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                owner, number, key, w = _lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                keep = np.flatnonzero(key)
+                take = pa.array(owner[keep] + a)
+                place = [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), pa.array(key[keep].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*place, *(pa.nulls(len(keep), f.type) for f in list(_READ)[4:])], schema=_READ)
                 names, lines = np.unique(key, return_index=True)
                 names, lines = names[names > 0], lines[names > 0]
                 if len(names):
                     keys.append(names)
-                    values.append(line_bands(w, lines))
+                    values.append(line_bands(w, lines)[0])
                     held += len(names) * BANDS
                 if held >= FLUSH:
                     yield from send(keys, values)
@@ -288,12 +321,14 @@ def block_links(docs: DataFrame, n: int) -> DataFrame:
                     yield from settle()
         yield from settle()
 
-    dealt = _keyed(docs).mapInArrow(deal, "slice int, entries binary, ties binary")
-    return dealt.repartition(shuffle_partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(stream, "block long, a long, b long")
+    read = stored(_keyed(docs).mapInArrow(deal, "doc long, print long, line int, key long, slice int, entries binary, ties binary"))
+    dealt = read.where("slice is not null").select("slice", "entries", "ties").repartition(shuffle_partitions(spark), "slice")
+    links = dealt.sortWithinPartitions("slice").mapInArrow(stream, "block long, a long, b long")
+    return read.where("slice is null").select("doc", "print", "line", "key"), stored(links)
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, normal: the normal form of each line of wanted (key, first), from another pass over the text.
+    """key, form: the sketch and the normal form of each line of wanted (key, first), from another pass over the text.
 
     Only the lines that are some key's first occurrence are needed.  A filter of fixed size drops nearly all
     others by their place alone; the join settles the rest.
@@ -317,12 +352,26 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             keep = np.flatnonzero((packed[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1)
             stop = np.append(start[1:], len(data))
             take = pa.array(owner[keep])
-            forms = pa.array([_normal(data[a:b]) for a, b in zip(start[keep].tolist(), stop[keep].tolist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32)), forms], ["doc", "print", "line", "normal"])
+            lines = [_normal(data[a:b]) for a, b in zip(start[keep].tolist(), stop[keep].tolist(), strict=True)]
+            place = [batch.column(0).take(take), batch.column(1).take(take), pa.array(number[keep].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*place, pa.array(lines, pa.binary())], ["doc", "print", "line", "normal"])
 
-    found = _keyed(docs).mapInArrow(run, "doc long, print long, line int, normal string")
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tk.utf8(batch.column(1))
+            for a, b in tk.document_blocks(offsets):
+                part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                w = tk.words(part, at, tk.NON_WORD)
+                some = np.flatnonzero(np.diff(w.first))
+                _, sketch = line_bands(w, some)
+                forms = [sketch[k].tobytes() + part[at[d] : at[d + 1]].tobytes() for k, d in enumerate(some.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array(forms, pa.binary())], ["key", "form"])
+
+    found = _keyed(docs).mapInArrow(run, "doc long, print long, line int, normal binary")
     keys = wanted.select("key", "first.doc", "first.print", "first.line")
-    return found.join(keys, ["doc", "print", "line"]).groupBy("key").agg(F.min("normal").alias("normal"))
+    # A repeated row has each of its lines again.
+    found = found.join(keys, ["doc", "print", "line"]).select("key", "normal").dropDuplicates(["key"])
+    return found.mapInArrow(sketched, "key long, form binary")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -334,15 +383,14 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     connected group one is kept, that of the smallest (doc_id, line).  Lines without a word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
     repeated; a null doc_id comes after all others.
     """
-    lines = stored(all_lines(docs))
-    distinct = stored(lines.groupBy("key").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n")))
-    links = stored(block_links(docs, distinct.count()))
-    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    forms = stored(line_texts(docs, stored(distinct.join(near, "key", "left_semi").select("key", "first"))))
+    lines, links = read_lines(docs)
+    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("near", F.lit(True))
+    # Only lines that occur again or are linked are looked at; of the others there is one occurrence, which stays.
+    distinct = lines.groupBy("key").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n"))
+    distinct = stored(distinct.join(near, "key", "left").where("n > 1 or near").select("key", "first", "near"))
+    forms = stored(line_texts(docs, distinct.where("near")))
     roots = connected(links, forms, EditSimilar(similarity)).withColumnRenamed("node", "key")
-    groups = distinct.join(roots, "key", "left")
-    # Only lines that occur again or are linked are looked up; of the others there is one occurrence, which stays.
-    groups = stored(groups.where("n > 1 or root is not null").select("key", "first", F.coalesce("root", "key").alias("root")))
+    groups = stored(distinct.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     # Written, so that the join is one of two shuffled sides, of which a hot root's can be split.
     kept = stored(groups.groupBy("root").agg(F.min("first").alias("kept")))
     again = groups.join(kept, "root").select("key", "kept")
@@ -350,9 +398,11 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cut = cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("print"))
-    rows = rows.join(cut, ["doc", "print"], "left")
+    # One row a document at most, so what a task hashes is its share of the cut documents.
+    rows = rows.join(cut.hint("shuffle_hash"), ["doc", "print"], "left")
     parts = F.split("row.text", "\n")
-    rows = rows.select("row", F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), parts.alias("parts"))
+    n_lines = F.octet_length("row.text") - F.octet_length(F.replace("row.text", F.lit("\n"))) + 1
+    rows = rows.select("row", n_lines.alias("n_lines"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"), parts.alias("parts"))
     # By a set difference: looking each line up in `removed` would take the square of a long text's lines.
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
     left = F.transform(stay, lambda i: F.element_at("parts", i + 1))

@@ -18,37 +18,45 @@ TILE = 256
 BANDS, ROWS = 24, 5
 
 
-def bands(parts: list[tuple[np.ndarray, np.ndarray]], n: int, n_bands: int, rows: int) -> np.ndarray:
-    """[n, n_bands] values; two of the n groups share one with odds of the similarity of their features to the power rows.
+def bands(hashes: np.ndarray, first: np.ndarray, n_bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """[groups, n_bands] values; two groups hashes[first[g]:first[g+1]] share one with odds of their similarity to the power rows.
 
-    parts: (hashes, first) of features, those of group g being hashes[first[g]:first[g+1]]; a group has at
-    least one feature in one of the parts.  Each min-hash takes the features in an order of its own.
+    Each min-hash takes the features in an order of its own.  The second result, [groups, n_bands * rows], has
+    a byte of each, those of a band side by side; the share of equal ones estimates the similarity.
     """
+    n = len(first) - 1
     odd = np.random.default_rng(42).integers(1, 1 << 31, n_bands * rows).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-    ready = []
-    for hashes, first in parts:
-        some = np.flatnonzero(np.diff(first))
-        ready.append(((hashes >> np.uint64(32)).astype(np.uint32), first[:-1][some], some))
-    out = np.empty((n, n_bands), np.uint64)
-    for b in range(n_bands):
-        value = np.full(n, b + 1, np.uint64)
-        for k in range(rows):
-            least = np.full(n, 0xFFFFFFFF, np.uint32)
-            for low, start, some in ready:
-                if len(some):
-                    least[some] = np.minimum(least[some], np.minimum.reduceat(low * odd[b * rows + k], start))
-            value = tk.mix(value * np.uint64(0xFF51AFD7ED558CCD) + least)
-        out[:, b] = value
-    return out
+    least = np.full((n_bands * rows, n), 0xFFFFFFFF, np.uint32)
+    sizes = np.diff(first)
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    # Groups of about one size are the columns of a matrix; columns are filled up with their first feature.
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.searchsorted(sizes[order], 1) :]
+    start = 0
+    while start < len(order):
+        size = int(sizes[order[start]])
+        stop = int(np.searchsorted(sizes[order], size + max(4, size // 8), side="right"))
+        stop = min(stop, start + max(1, (1 << 18) // (size + max(4, size // 8))))
+        own = order[start:stop]
+        rank = np.arange(int(sizes[own[-1]]))[:, None]
+        table = low[first[:-1][own] + np.where(rank < sizes[own], rank, 0)]
+        for k, factor in enumerate(odd):
+            least[k, own] = np.multiply(table, factor).min(axis=0)
+        start = stop
+    value = np.repeat(tk.mix(np.arange(1, n_bands + 1, dtype=np.uint64))[:, None], n, axis=1)
+    for k in range(rows):
+        value = tk.mix(value * np.uint64(0xFF51AFD7ED558CCD) + least[k::rows])
+    sketch = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
+    return np.ascontiguousarray(value.T), np.ascontiguousarray(sketch.T.astype(np.uint8))
 
 
 class Same:
-    """Whether two forms are alike: __call__ decides, near(forms)(x) marks those after the x-th that may be, a quick bound."""
+    """Whether two forms are alike: __call__ decides; near(forms, block)(x) marks those after the x-th to compare in that block."""
 
     def __call__(self, a, b) -> bool:
         raise NotImplementedError
 
-    def near(self, forms: list) -> Callable[[int], np.ndarray]:
+    def near(self, forms: list, block: int) -> Callable[[int], np.ndarray]:
         return lambda x: np.ones(len(forms) - x - 1, bool)
 
 
@@ -65,7 +73,7 @@ class Jaccard(Same):
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= self.least * (len(x) + len(y) - both) - 1e-9
 
-    def near(self, forms: list) -> Callable[[int], np.ndarray]:
+    def near(self, forms: list, block: int) -> Callable[[int], np.ndarray]:
         size = np.array([len(f) for f in forms])
         return lambda x: np.minimum(size[x + 1 :], size[x]) >= self.least * np.maximum(size[x + 1 :], size[x]) - 1e-6
 
@@ -107,7 +115,7 @@ def _rest(members: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
 
     def compare(held: list[tuple]) -> list[tuple[int, int]]:
         forms_ = [r[6] for r in held]
-        near = same.near(forms_)
+        near = same.near(forms_, held[0][0])
         apart, mine = held[0][1] != held[0][2], np.array([r[5] for r in held])
         parent = {r[4]: r[4] for r in held}
 
@@ -150,18 +158,23 @@ def connected(links: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
     connected as a whole by then, every two members that are not.  So no block's pairs are all emitted, and
     no two alike members of a block stay apart.
     """
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = stored(links.where("a <> b").select(*pair).distinct())
     good = stored(_alike(pairs, forms, same))
     roots = stored(components(good))
-    members = links.select("block", F.col("a").alias("key")).unionByName(links.select("block", F.col("b").alias("key"))).distinct()
-    members = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("block", "key", F.coalesce("root", "key").alias("root"))
-    members = stored(members)
-    # The two members of a block of two were a pair already.
-    open_ = members.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    open_ = stored(open_.where("n > 2 and low <> high").select("block"))
-    if open_.isEmpty():
+    top = lambda c: roots.toDF(c, f"root_{c}")
+    apart = pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
+    ties = links.select("block", *pair)
+    # Blocks in which a link failed; the two members of a block of two were a pair already.
+    open_ = ties.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("block").distinct()
+    ties = stored(ties.join(open_, "block", "left_semi"))
+    members = ties.select("block", F.explode(F.array("a", "b")).alias("key")).distinct()
+    large = members.groupBy("block").agg(F.count("*").alias("n")).where("n > 2").select("block")
+    members = stored(members.join(stored(large), "block"))
+    if members.isEmpty():
         return roots
-    late = stored(_rest(members.join(open_, "block"), forms, same))
+    named = members.join(top("key"), "key", "left").select("block", "key", F.coalesce("root_key", "key").alias("root"))
+    late = stored(_rest(stored(named), forms, same))
     return components(good.unionByName(late)) if not late.isEmpty() else roots
 
 
@@ -195,7 +208,7 @@ def _sets(docs: DataFrame, size: int, with_bands: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([key, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
                     continue
                 prints = [int(tk.mix(np.array([np.add.reduce(tk.mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in sets]
-                values = bands([(hashes, first)], y - x, BANDS, ROWS)
+                values, _ = bands(hashes, first, BANDS, ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, BANDS), pa.int32()), pa.array(values.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["key", "print", "bands"])
 

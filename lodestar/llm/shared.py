@@ -44,8 +44,8 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None or spark.sparkContext._jsc.sc().isStopped():
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or context is None or context.sc().isStopped():
         return
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -16,9 +16,9 @@ from lodestar.llm.shared import load, shuffle_partitions, stored
 
 SIMILARITY = 0.8
 #: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their pairs of words, each with its place in stretches of STRETCH words.
-BANDS, ROWS, STRETCH = 16, 3, 16
+BANDS, ROWS, STRETCH = 16, 3, 32
 #: Lines that share a band are compared if this share of all their min-hashes is equal: with an edit similarity of 0.8 it is.
-AGREE = 0.25
+AGREE = 0.3
 #: Lines of 4 words up to this many have their halves in place of the last four bands.
 SHORT = 15
 #: Entries that a task holds before it sends them, and bytes of the table for each slice.
@@ -93,16 +93,15 @@ class EditSimilar(minhash.Same):
 
     def near(self, forms: list[bytes], block: int) -> Callable[[int], np.ndarray]:
         sketch = np.array([np.frombuffer(f, np.uint8, BANDS * ROWS) for f in forms])
-        agree, before = np.zeros((len(forms), len(forms)), np.uint8), np.zeros((len(forms), len(forms)), bool)
-        for band in range(BANDS):
-            whole = np.ones_like(before)
-            for k in range(band * ROWS, band * ROWS + ROWS):
-                equal = sketch[:, None, k] == sketch[None, :, k]
-                agree += equal
-                whole &= equal
-            if band < min(block % BANDS, BANDS - 4):
-                before |= whole
-        fits = (agree >= AGREE * BANDS * ROWS) & ~before
+        n, first = len(forms), min(block % BANDS, BANDS - 4)
+        fits = np.empty((n, n), bool)
+        rows = max(1, (1 << 20) // (n * BANDS * ROWS))
+        for a in range(0, n, rows):
+            equal = sketch[a : a + rows, None] == sketch[None]
+            before = equal.reshape(*equal.shape[:2], BANDS, ROWS)[:, :, :first].all(axis=3).any(axis=2)
+            fits[a : a + rows] = (np.count_nonzero(equal, axis=2) >= AGREE * BANDS * ROWS) & ~before
+        if not np.triu(fits, 1).any():
+            return lambda x: fits[x, x + 1 :]
         # Bytes for letters: a letter may have four bytes, of which only the first is counted.
         heads = [np.frombuffer(f[BANDS * ROWS :].translate(_HEAD), np.uint8) for f in forms]
         bags = np.array([np.bincount(h, minlength=64)[1:] for h in heads], np.int32)
@@ -337,7 +336,8 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     place = top.bitwiseXOR(F.col("first.line").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("long")) + 1
     marked = wanted.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     bits = np.zeros(1 << FILTER_BITS - 3, np.uint8)
-    for r in marked.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_pylist():
+    # Dealt first, so that no task sends a whole bitmap of the few places that it knows.
+    for r in marked.repartition(shuffle_partitions(docs.sparkSession), "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toArrow().to_pylist():
         start = (r["bucket"] - 1) * 4096
         bits[start : start + 4096] = np.frombuffer(r["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
@@ -384,17 +384,20 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     repeated; a null doc_id comes after all others.
     """
     lines, links = read_lines(docs)
-    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("near", F.lit(True))
+    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # Only lines that occur again or are linked are looked at; of the others there is one occurrence, which stays.
-    distinct = lines.groupBy("key").agg(F.min(F.struct("doc", "print", "line")).alias("first"), F.count("*").alias("n"))
-    distinct = stored(distinct.join(near, "key", "left").where("n > 1 or near").select("key", "first", "near"))
+    again = lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    wanted = near.withColumn("near", F.lit(True)).join(again, "key", "full").select("key", F.coalesce("near", F.lit(False)).alias("near"))
+    # A key once, so what a task hashes is its share of the keys.
+    lines = stored(lines.join(wanted.hint("shuffle_hash"), "key"))
+    distinct = stored(lines.groupBy("key", "near").agg(F.min(F.struct("doc", "print", "line")).alias("first")))
     forms = stored(line_texts(docs, distinct.where("near")))
     roots = connected(links, forms, EditSimilar(similarity)).withColumnRenamed("node", "key")
     groups = stored(distinct.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     # Written, so that the join is one of two shuffled sides, of which a hot root's can be split.
     kept = stored(groups.groupBy("root").agg(F.min("first").alias("kept")))
-    again = groups.join(kept, "root").select("key", "kept")
-    cut = lines.join(again, "key").where("struct(doc, print, line) <> kept")
+    stay = groups.join(kept, "root").select("key", "kept")
+    cut = lines.join(stay, "key").where("struct(doc, print, line) <> kept")
     cut = cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("print"))

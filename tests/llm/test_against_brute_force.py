@@ -129,7 +129,7 @@ def test_simhash_links_planted(spark):
 
 
 def test_lines(spark, texts):
-    """All pairs of lines that share a band, agree in a quarter of their min-hashes and have an edit similarity of 0.8."""
+    """All pairs of lines that share a band, agree in 0.3 of their min-hashes and have an edit similarity of 0.8."""
     import pyarrow as pa
 
     where = defaultdict(list)
@@ -151,7 +151,7 @@ def test_lines(spark, texts):
     for x in range(len(forms)):
         for y in np.flatnonzero((bands[x + 1 :] == bands[x]).any(axis=1)) + x + 1:
             longer = max(len(forms[x]), len(forms[y]))
-            if (sketch[x] == sketch[y]).sum() >= 12 and 1 - line_dedup.edit_distance(forms[x], forms[y]) / longer >= 0.8:
+            if (sketch[x] == sketch[y]).sum() >= 0.3 * 48 and 1 - line_dedup.edit_distance(forms[x], forms[y]) / longer >= 0.8:
                 parent[root(int(y))] = root(x)
     groups = defaultdict(list)
     for k, form in enumerate(forms):

@@ -1,4 +1,4 @@
-"""Bands of min-hashes, groups connected through what shares a band, and near copies by the Jaccard similarity of shingles."""
+"""Bands of min-hashes, and groups connected through what shares one: helpers of the near-duplicate operators."""
 
 from __future__ import annotations
 
@@ -196,37 +196,20 @@ def _shingles(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarra
         yield x, y, np.concatenate(parts)[order], np.searchsorted(owner[order], np.arange(y - x + 1))
 
 
-def _sets(docs: DataFrame, size: int, with_bands: bool) -> DataFrame:
+def sets(docs: DataFrame, size: int, with_bands: bool) -> DataFrame:
     """key with the bands of the text's shingles and a print of their set, or with the set itself (ascending, as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y, hashes, first in _shingles(batch.column(1), size):
                 key = batch.column(0).slice(x, y - x)
-                sets = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+                unique = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 if not with_bands:
-                    yield pa.RecordBatch.from_arrays([key, pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([key, pa.array([s.tobytes() for s in unique], pa.binary())], ["key", "shingles"])
                     continue
-                prints = [int(tk.mix(np.array([np.add.reduce(tk.mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in sets]
+                prints = [int(tk.mix(np.array([np.add.reduce(tk.mix(s), dtype=np.uint64) + np.uint64(len(s))]))[0]) for s in unique]
                 values, _ = bands(hashes, first, BANDS, ROWS)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, BANDS), pa.int32()), pa.array(values.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["key", "print", "bands"])
 
     return docs.select("key", "text").mapInArrow(run, "key long, print long, bands array<long>" if with_bands else "key long, shingles binary")
-
-
-def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """key, root: rows of one root are connected by pairs whose sets of `size`-word shingles have Jaccard `similarity` at least.
-
-    One row for each row of docs (key long, unique; text).  Equal sets are one node, null and empty texts too.
-    Candidates share one of BANDS bands; each link is verified on the sets.
-    """
-    prints = stored(_sets(docs, size, True))
-    nodes = stored(prints.groupBy("print").agg(F.min(F.struct("key", "bands")).alias("m")).select("print", "m.key", "m.bands"))
-    filed = nodes.select("key", F.explode("bands").alias("block"))
-    leaders = stored(filed.groupBy("block").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("block", "a"))
-    links = stored(filed.join(leaders, "block").where("key <> a").select("block", "a", F.col("key").alias("b")))
-    near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    roots = connected(links, stored(_sets(docs.join(near, "key", "left_semi"), size, False)), Jaccard(similarity)).withColumnRenamed("node", "key")
-    named = nodes.select("print", "key").join(roots, "key", "left").select("print", F.coalesce("root", "key").alias("root"))
-    return prints.select("key", "print").join(named, "print").select("key", "root")

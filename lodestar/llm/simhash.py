@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import checkpointed, components, load
+from lodestar.llm.shared import checkpointed, components, load, stored
 
 SEED = 42
 
@@ -60,36 +61,60 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
-def ball(segments: int, radius: int) -> list[int]:
-    """The masks that change up to radius bits in all, enumerated segment by segment, as signed 64-bit values."""
-    width = 64 // segments
-    masks = {0}
-    for chosen in range(1, radius + 1):
-        for bits in combinations(range(64), chosen):
-            masks.add(sum(1 << b for b in bits))
-    by_segment = sorted(masks, key=lambda m: (m.bit_count(), (m.bit_length() - 1) // width, m))
-    return [m - (1 << 64) if m >> 63 else m for m in by_segment]
+#: Fingerprints in one entry of a segment's table up to which each is compared with each that probes it.
+CROWD = 64
 
 
-def linked(prints: DataFrame, distance: int = 2, segments: int = 4) -> DataFrame:
-    """Links (a, b) between different fingerprints whose closure equals that of all pairs within distance bits.
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
-    Multi-index hashing with a bounded bucket: each fingerprint is filed in the tables of its segments under
-    every value of the ball of radius distance / 2, the rest of the fingerprint staying in the key.  Two
-    fingerprints are within distance exactly if their balls meet (change half of the differing bits of one,
-    half of the other), so no link is lost; whatever meets under one key is within distance of each other, so
-    consecutive members of a bucket are enough.  Each link's complete distance is verified all the same.  A
-    bucket holds at most the ball's own size of fingerprints, however many documents share a segment value:
-    nothing is skewed and no group's pairs are emitted.
+
+def ball(width: int, radius: int, shift: int = 0) -> list[int]:
+    """The masks that change up to radius of the width bits from bit shift on, fewest first, as signed 64-bit values."""
+    chosen = (c for n in range(radius + 1) for c in combinations(range(shift, shift + width), n))
+    return [_signed(sum(1 << b for b in bits)) for bits in chosen]
+
+
+def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """Links (a, b) between different fingerprints within distance bits; their closure is that of all such pairs.
+
+    Multi-index hashing over two segments of 32 bits, each with a table of the fingerprints by its value.  Of
+    two fingerprints within 2r bits, one segment differs in r bits at most; so each one probes the
+    tables with every value of the ball of radius r around its own segments (of pairs that differ by just r in
+    both, one table is enough), and the complete distance of what it finds decides.  An entry of over CROWD
+    fingerprints is not searched pair by pair: all that are in one or probe one go to crowded() instead.
     """
-    if distance % 2 or not 0 <= distance <= 4:
+    if distance not in (0, 2, 4):
         raise ValueError("distance must be 0, 2 or 4")
-    masks = ball(segments, distance // 2)
-    filed = prints.select("fingerprint", F.explode(F.array([F.lit(m).cast("long") for m in masks])).alias("mask"))
-    filed = filed.select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("key"))
+    segments = [_signed(0xFFFFFFFF << 32), 0xFFFFFFFF]
+    value = lambda k: F.col("fingerprint").bitwiseAND(F.lit(segments[k]).cast("long"))
+    filed = prints.select("fingerprint", F.explode(F.array(*(F.struct(F.lit(k).alias("segment"), value(k).alias("value")) for k in (0, 1)))).alias("entry"))
+    filed = filed.select("entry.segment", "entry.value", "fingerprint")
+    # If both segments differ in as many bits as the larger ball reaches, the first table finds the pair.
+    radius = [distance // 2, (distance - 1) // 2 if distance else 0]
+    probes = [F.struct(F.lit(k).alias("segment"), value(k).bitwiseXOR(F.lit(m).cast("long")).alias("value")) for k in (0, 1) for m in ball(32, radius[k], 32 * (1 - k))]
+    asked = prints.select("fingerprint", F.explode(F.array(*probes)).alias("entry")).select("entry.segment", "entry.value", F.col("fingerprint").alias("probe"))
+    full = stored(filed.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("segment", "value"))
+    found = filed.join(full, ["segment", "value"], "left_anti").join(asked, ["segment", "value"]).where("fingerprint <> probe")
+    found = found.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("probe"))) <= distance)
+    links = found.select(F.col("fingerprint").alias("a"), F.col("probe").alias("b"))
+    if full.isEmpty():
+        return links
+    many = asked.join(full, ["segment", "value"], "left_semi").select(F.col("probe").alias("fingerprint")).distinct()
+    return links.unionByName(crowded(stored(many), distance))
+
+
+def crowded(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) of the same closure as all pairs within distance bits, however close fingerprints are crowded.
+
+    Every fingerprint is filed under each value of the ball of radius distance / 2 around the whole of it.  Two
+    within the distance meet at a value between them, and whatever meets is within it; so a chain of the
+    members of an entry, of which there are as many as the ball has values at most, has the same closure.
+    """
+    masks = F.array(*(F.lit(m).cast("long") for m in ball(64, distance // 2)))
+    filed = prints.select("fingerprint", F.explode(masks).alias("mask")).select("fingerprint", F.col("fingerprint").bitwiseXOR(F.col("mask")).alias("key"))
     previous = F.lag("fingerprint").over(Window.partitionBy("key").orderBy("fingerprint"))
-    links = filed.select(F.col("fingerprint").alias("a"), previous.alias("b")).where("b is not null")
-    return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    return filed.select(F.col("fingerprint").alias("a"), previous.alias("b")).where("b is not null")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFrame:
@@ -108,6 +133,31 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
+    """key, root: rows of one root are connected by pairs whose sets of `size`-word shingles have Jaccard `similarity` at least.
+
+    One row for each row of docs (key long, unique; text).  Rows of equal sets are one node, null and empty
+    texts too.  Candidates are fingerprints within distance bits (linked()) and, as 64 bits don't tell a Jaccard
+    similarity of 0.8 from chance at that or any distance that can be searched, rows that share a band of
+    min-hashes; each link is verified on the whole sets.
+    """
+    found = stored(minhash.sets(docs, size, True))
+    nodes = stored(found.groupBy("print").agg(F.min(F.struct("key", "bands")).alias("m")).select("print", "m.key", "m.bands"))
+    prints = fingerprints(docs.select(F.col("key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "key")
+    prints = stored(prints.join(nodes.select("key"), "key", "left_semi"))
+    heads = stored(prints.groupBy("fingerprint").agg(F.min("key").alias("head")))
+    near = linked(heads, distance).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
+    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(prints.join(heads, "fingerprint").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    filed = nodes.select("key", F.explode("bands").alias("block"))
+    leaders = stored(filed.groupBy("block").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("block", "a"))
+    tied = filed.join(leaders, "block").where("key <> a").select("block", "a", F.col("key").alias("b"))
+    links = stored(tied.unionByName(pairs.select(F.xxhash64("a", "b").alias("block"), "a", "b")))
+    wanted = docs.join(links.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    roots = minhash.connected(links, stored(minhash.sets(wanted, size, False)), minhash.Jaccard(similarity)).withColumnRenamed("node", "key")
+    named = nodes.select("print", "key").join(roots, "key", "left").select("print", F.coalesce("root", "key").alias("root"))
+    return found.select("key", "print").join(named, "print").select("key", "root")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(load(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -111,8 +111,10 @@ def test_simhash(spark, texts):
     assert out == {d: (f"{p:016x}", component[d]) for d, p in prints.items()}
 
 
-def test_simhash_links_planted(spark):
-    """All pairs within two bits, among crowds of fingerprints around a few centres."""
+@pytest.mark.parametrize(("distance", "crowd"), [(0, 64), (2, 64), (2, 3), (4, 64), (4, 3)])
+def test_simhash_links_planted(spark, monkeypatch, distance, crowd):
+    """All pairs within the distance, among crowds of fingerprints around a few centres."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = random.Random(5)
     values = set()
     for _ in range(12):
@@ -121,11 +123,11 @@ def test_simhash_links_planted(spark):
             values.add(centre ^ sum(1 << b for b in {rng.randrange(64) for _ in range(rng.randrange(4))}))
     values = sorted(values)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
-    links = simhash.linked(spark.createDataFrame([(signed(v),) for v in values], "fingerprint long"))
-    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2 for a, b in links.collect())
+    links = simhash.linked(spark.createDataFrame([(signed(v),) for v in values], "fingerprint long"), distance).cache()
+    assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= distance for a, b in links.collect())
     roots = {r.node: r.root for r in components(links).collect()}
-    close = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2]
-    assert close and all(roots[signed(a)] == roots[signed(b)] for a, b in close)
+    close = [(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= distance]
+    assert (close or not distance) and all(roots[signed(a)] == roots[signed(b)] for a, b in close)
 
 
 def test_lines(spark, texts):

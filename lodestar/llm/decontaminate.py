@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import load, stored
+from lodestar.llm.shared import frugal, load, stored
 
 #: Bits of the filter that is sent to the executors: 2 MB, whatever the size of the benchmark.
 FILTER_BITS = 24
@@ -98,7 +98,7 @@ def occurrences(docs: DataFrame, shingles: DataFrame, size: int) -> DataFrame:
                     [batch.column(0).slice(x, y - x), pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(lists), hits)], ["doc_id", "n_words", "hits"]
                 )
 
-    found = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words long, hits array<struct<at: long, width: int, shingle: string>>")
+    found = docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {id_type}, n_words long, hits array<struct<at: long, width: int, shingle: string>>")
     return found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_words", "hits")
 
 

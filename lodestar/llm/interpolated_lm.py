@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
 from lodestar.llm.chunks import pieces
-from lodestar.llm.shared import load, stored
+from lodestar.llm.shared import frugal, load, stored
 
 CHUNK_BYTES = 4 << 20
 CHUNK_DOCS = 200_000
@@ -85,7 +85,7 @@ def packed(docs: DataFrame) -> DataFrame:
                 yield row(deleted)
 
     kind = "chunk long, deleted boolean, size long, ids binary, parts binary, sizes binary, texts binary"
-    return stored(base.mapInArrow(run, kind), **{"compression": "none", "parquet.block.size": str(4 * CHUNK_BYTES)})
+    return stored(base.mapInArrow(frugal(run), kind), **{"compression": "none", "parquet.block.size": str(4 * CHUNK_BYTES)})
 
 
 @dataclass
@@ -171,7 +171,7 @@ def counted(chunks: DataFrame, m: int, bits: int) -> DataFrame:
                     rows.append((c, kind, bucket, np.packbits(told[a:b]).tobytes(), _pack_counts(every[a:b][told[a:b]])))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(told_schema)], schema=told_schema)
 
-    asked = chunks.mapInArrow(ask, "bucket int, chunk long, kind int, hashes binary, counts binary")
+    asked = chunks.mapInArrow(frugal(ask), "bucket int, chunk long, kind int, hashes binary, counts binary")
     return asked.groupBy("bucket").applyInArrow(add, "chunk long, kind int, bucket int, told binary, totals binary")
 
 

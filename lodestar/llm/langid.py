@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import in_rest, load, shuffle_partitions
+from lodestar.llm.shared import frugal, in_rest, load, shuffle_partitions
 
 TABLE_BITS = 16
 SLICES = 16
@@ -75,7 +75,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     n_langs = docs.where("lang is not null").agg(F.count_distinct("lang")).first()[0]
     if n_langs > MAX_LANGUAGES:
         raise ValueError(f"{n_langs} languages; the model is made for {MAX_LANGUAGES} at most")
-    counted = docs.where("lang is not null").select("lang", "text").mapInArrow(count, kind)
+    counted = docs.where("lang is not null").select("lang", "text").mapInArrow(frugal(count), kind)
     summed = counted.repartition(shuffle_partitions(spark), "lang", "slice").mapInArrow(add, kind).toArrow()
     languages = sorted(set(summed.column("lang").to_pylist()))
     counts = np.zeros((1 << TABLE_BITS, len(languages)))
@@ -167,7 +167,7 @@ def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["row", "lang_pred", "score", "languages"])
 
     rows = docs.select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
+    return rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

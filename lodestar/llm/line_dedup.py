@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
 from lodestar.llm.minhash import connected
-from lodestar.llm.shared import load, shuffle_partitions, stored
+from lodestar.llm.shared import frugal, load, scratch, shuffle_partitions, stored
 
 SIMILARITY = 0.8
 #: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their pairs of words, each with its place in stretches of STRETCH words.
@@ -320,9 +320,9 @@ def read_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     yield from settle()
         yield from settle()
 
-    read = stored(_keyed(docs).mapInArrow(deal, "doc long, print long, line int, key long, slice int, entries binary, ties binary"))
+    read = stored(_keyed(docs).mapInArrow(frugal(deal), "doc long, print long, line int, key long, slice int, entries binary, ties binary"))
     dealt = read.where("slice is not null").select("slice", "entries", "ties").repartition(shuffle_partitions(spark), "slice")
-    links = dealt.sortWithinPartitions("slice").mapInArrow(stream, "block long, a long, b long")
+    links = dealt.sortWithinPartitions("slice").mapInArrow(frugal(stream), "block long, a long, b long")
     return read.where("slice is null").select("doc", "print", "line", "key"), stored(links)
 
 
@@ -367,22 +367,15 @@ def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 forms = [sketch[k].tobytes() + part[at[d] : at[d + 1]].tobytes() for k, d in enumerate(some.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array(forms, pa.binary())], ["key", "form"])
 
-    found = _keyed(docs).mapInArrow(run, "doc long, print long, line int, normal binary")
+    found = _keyed(docs).mapInArrow(frugal(run), "doc long, print long, line int, normal binary")
     keys = wanted.select("key", "first.doc", "first.print", "first.line")
     # A repeated row has each of its lines again.
     found = found.join(keys, ["doc", "print", "line"]).select("key", "normal").dropDuplicates(["key"])
-    return found.mapInArrow(sketched, "key long, form binary")
+    return found.mapInArrow(frugal(sketched), "key long, form binary")
 
 
-def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Every row of docs as (row, n_lines, removed, kept): row holds all columns, removed the numbers of the lines cut, kept the text.
-
-    Lines are the parts between line feeds.  A line's normal form is its words (lower-cased, without
-    punctuation).  Lines of equal form are one; different ones are linked if they share a band and their forms
-    have an edit similarity of `similarity` at least, whatever else the band holds.  Of all occurrences of a
-    connected group one is kept, that of the smallest (doc_id, line).  Lines without a word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
-    repeated; a null doc_id comes after all others.
-    """
+def _cut(docs: DataFrame, similarity: float) -> DataFrame:
+    """doc, print, removed: the numbers of the lines that go, of each document that has any."""
     lines, links = read_lines(docs)
     near = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # Only lines that occur again or are linked are looked at; of the others there is one occurrence, which stays.
@@ -398,8 +391,20 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = stored(groups.groupBy("root").agg(F.min("first").alias("kept")))
     stay = groups.join(kept, "root").select("key", "kept")
     cut = lines.join(stay, "key").where("struct(doc, print, line) <> kept")
-    cut = cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+
 
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Every row of docs as (row, n_lines, removed, kept): row holds all columns, removed the numbers of the lines cut, kept the text.
+
+    Lines are the parts between line feeds.  A line's normal form is its words (lower-cased, without
+    punctuation).  Lines of equal form are one; different ones are linked if they share a band and their forms
+    have an edit similarity of `similarity` at least, whatever else the band holds.  Of all occurrences of a
+    connected group one is kept, that of the smallest (doc_id, line).  Lines without a word are never cut.  A null text stays null, with no lines; repeated rows are one document and stay
+    repeated; a null doc_id comes after all others.
+    """
+    with scratch(docs.sparkSession):
+        cut = stored(_cut(docs, similarity), keep=True)
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("print"))
     # One row a document at most, so what a task hashes is its share of the cut documents.
     rows = rows.join(cut.hint("shuffle_hash"), ["doc", "print"], "left")
@@ -410,7 +415,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
     left = F.transform(stay, lambda i: F.element_at("parts", i + 1))
     text = F.when(F.size("removed") == 0, F.col("row.text")).otherwise(F.array_join(left, "\n"))
-    return rows.select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "removed", text.alias("kept"))
+    return rows.select("row", F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), "removed", F.explode(F.array(text)).alias("kept"))  # so that it is worked out once
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import components, shuffle_partitions, stored
+from lodestar.llm.shared import components, frugal, shuffle_partitions, stored
 
 #: Rows of one part of a block; a task compares two parts at a time.
 TILE = 256
@@ -92,7 +92,7 @@ def _alike(pairs: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
             fit = [same(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(fit, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(frugal(run), "a long, b long")
 
 
 def _rest(members: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
@@ -147,7 +147,7 @@ def _rest(members: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
             yield _pair_batch(compare(held))
 
     dealt = met.repartition(shuffle_partitions(members.sparkSession), "tile").sortWithinPartitions("tile", "block", "i", "j", "key")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(frugal(run), "a long, b long")
 
 
 def connected(links: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
@@ -212,4 +212,4 @@ def sets(docs: DataFrame, size: int, with_bands: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, BANDS), pa.int32()), pa.array(values.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([key, pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["key", "print", "bands"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, print long, bands array<long>" if with_bands else "key long, shingles binary")
+    return docs.select("key", "text").mapInArrow(frugal(run), "key long, print long, bands array<long>" if with_bands else "key long, shingles binary")

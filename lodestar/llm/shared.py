@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,30 +23,62 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Computes df now and cuts its lineage; the rows are in the shared folder, so lost executors don't matter."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+#: Written tables of the scratch() blocks that are open, innermost last.
+_open: list[list[str]] = []
 
 
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: for what is too large for checkpoint()'s plain rows."""
+def stored(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
+    """Computes df now and cuts its lineage: writes it as Parquet in the shared folder, so that lost executors don't matter.
+
+    The table goes when the scratch() block around ends, or with `keep` the one around that; without one, when
+    the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/lodestar-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
+    around = _open[:-1] if keep else _open
+    if around:
+        around[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that are stored within; what is to live on must be stored with `keep`."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
+
+
+def frugal(run: Callable) -> Callable:
+    """A function for mapInArrow that gives the memory it has freed back to the system when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc
     if jvm is None or context is None or context.sc().isStopped():
@@ -66,17 +102,17 @@ def components(links: DataFrame) -> DataFrame:
     linear, and no node's neighbours are ever gathered (minima are pre-aggregated, joins can be split).
     """
     spark = links.sparkSession
-    edges = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("o"), F.col(c).alias("v"))  # noqa: B023, E731
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         chosen = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-        chosen = checkpointed(chosen.select(F.col("a").alias("node"), F.least(order("a"), "m")["v"].alias("root")))
+        chosen = stored(chosen.select(F.col("a").alias("node"), F.least(order("a"), "m")["v"].alias("root")))
         steps.append(chosen)
         left, right = chosen.toDF("a", "ra"), chosen.toDF("b", "rb")
         edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = checkpointed(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = stored(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not steps:
         return spark.createDataFrame([], "node long, root long")
     out = steps.pop()

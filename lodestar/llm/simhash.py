@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import checkpointed, components, load, stored
+from lodestar.llm.shared import components, frugal, load, scratch, stored
 
 SEED = 42
 
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
             flush()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
 #: Fingerprints in one entry of a segment's table up to which each is compared with each that probes it.
@@ -124,12 +124,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     texts, repeated rows and equal fingerprints are one node.  A null doc_id keeps its row; it never names a
     component unless no other id does.  Extra columns are ignored.
     """
-    prints = checkpointed(fingerprints(docs, size))
-    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest"))
-    roots = components(linked(nodes, distance)).withColumnRenamed("node", "fingerprint")
-    nodes = nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = nodes.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = nodes.join(smallest, "root").select("fingerprint", "component_id")
+    prints = stored(fingerprints(docs, size))
+    with scratch(docs.sparkSession):
+        nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")))
+        roots = components(linked(nodes, distance)).withColumnRenamed("node", "fingerprint")
+        nodes = stored(nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+        smallest = stored(nodes.groupBy("root").agg(F.min("smallest").alias("component_id")))
+        named = stored(nodes.join(smallest, "root").select("fingerprint", "component_id"), keep=True)
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 

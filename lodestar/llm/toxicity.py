@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import in_rest, labelled_sample, load
+from lodestar.llm.shared import frugal, in_rest, labelled_sample, load
 
 #: Bound of the labelled sample the machine is fitted on, for each label.
 SAMPLE = 1500
@@ -288,7 +288,7 @@ def toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
             score = m.score(features(*tk.utf8(batch.column(1)), m.landmarks))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score.astype(np.float64))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

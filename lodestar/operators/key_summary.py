@@ -6,8 +6,9 @@ filter's mask have no partner.  Summaries live in a column of their own; sound f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,13 @@ from lodestar.operators.statistics import Histogram
 MAX_BITS = 62
 
 
+@dataclass(frozen=True)
+class Conjunction:
+    """Several filters that one value of a column must pass."""
+
+    filters: tuple[Filter, ...]
+
+
 @dataclass(frozen=True)
 class Summary:
     """Bits [offset, offset + bits) of `column` on the target, from source.column by its histogram."""
@@ -35,8 +43,14 @@ class Summary:
         if not 0 < self.bits or self.offset < 0 or self.offset + self.bits > MAX_BITS:
             raise ValueError("summaries have 62 bits in all")
 
-    def mask(self, filter_: Filter) -> int | None:
-        """The bits a row that joins with a row passing the filter may have; None if the filter is of no use."""
+    def mask(self, filter_: Filter | Conjunction) -> int | None:
+        """The bits a row that joins with a row passing the filter may have; None if the filter is of no use.
+
+        One value passes all of a conjunction's filters, so its bit is in each of their masks.
+        """
+        if isinstance(filter_, Conjunction):
+            masks = [m for m in map(self.mask, filter_.filters) if m is not None]
+            return reduce(lambda a, b: a & b, masks) if masks else None
         if filter_.col != self.source_column or not self.histogram.lows:
             return None
         place = lambda v: self.histogram.bit(self.histogram.bucket(v), self.bits, self.offset)
@@ -109,11 +123,16 @@ def refresh(target: DataFrame, target_key: str, touched: DataFrame, source: Data
     return joined.withColumn(summary.column, value).drop("__key", "__new")
 
 
-def reduced(target: DataFrame, checks: Sequence[tuple[Summary, Filter]], version: str = "") -> DataFrame:
-    """The target's rows that may join, one check for each summary and filter.  A stale summary is refused."""
+def reduced(target: DataFrame, checks: Sequence[tuple[Summary, Filter | Conjunction]], versions: Mapping[str, str] | None = None) -> DataFrame:
+    """The target's rows that may join, one check for each summary and filter.
+
+    versions: of each source as it is now.  A summary that was made from another one is refused, as it could
+    lack rows; one made without a version only stands for a source without one.
+    """
     for summary, filter_ in checks:
-        if version and summary.version and summary.version != version:
-            raise ValueError(f"the summary of {summary.source} is of version {summary.version}, not {version}")
+        now = (versions or {}).get(summary.source, "")
+        if summary.version != now:
+            raise ValueError(f"the summary of {summary.source} is of version {summary.version!r}, not {now!r}")
         mask = summary.mask(filter_)
         if mask is not None:
             target = target.where(summary_check(summary.column, mask))

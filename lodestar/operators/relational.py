@@ -35,13 +35,35 @@ def semi_join(keep: DataFrame, other: DataFrame, keep_keys: Sequence[str], other
     return keep.join(other, [keep[k] == other[o] for k, o in zip(keep_keys, other_keys, strict=True)], "left_semi")
 
 
-def bloom_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str) -> DataFrame:
-    """Inner join in which Spark may filter the probe side by a Bloom filter of the build side's keys.
+#: Bits of a filter for each key of the build side, and its most; beyond that it lets more through, no less.
+BITS_A_KEY, MOST_BITS = 16, 1 << 26
 
-    The filter is Spark's own runtime filter, which it injects where its thresholds say it pays; nothing is
-    broadcast but that filter of bounded size.
+
+def key_filter(build: DataFrame, key: str, n_keys: int) -> tuple[DataFrame, int]:
+    """(word, bits) rows of a one-hash Bloom filter of the build side's keys, and its number of bits.
+
+    n_keys is the checked number of rows; the filter has MOST_BITS / 64 rows of 16 bytes at most (16 MB), so it
+    may be broadcast whatever the table.
     """
-    return inner_join(build, probe, [build_key], [probe_key], "shuffle_hash")
+    n_bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_KEY * max(1, n_keys) - 1).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n_bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    kept = build.where(F.col(key).isNotNull())
+    return kept.groupBy(F.floor(place / 64).alias("__word")).agg(F.bit_or(one).alias("__bits")), n_bits
+
+
+def may_join(probe: DataFrame, key: str, words: DataFrame, n_bits: int) -> DataFrame:
+    """The probe side's rows whose key's bit is set in the filter: all that have a partner, few that have none."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(n_bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    met = probe.join(F.broadcast(words), F.floor(place / 64) == F.col("__word"))
+    return met.where(F.col("__bits").bitwiseAND(one) != 0).select(probe.columns)
+
+
+def bloom_join(build: DataFrame, probe: DataFrame, build_key: str, probe_key: str, checked_rows: int) -> DataFrame:
+    """Inner join whose probe side is filtered by a Bloom filter of the build side's keys before it is shuffled."""
+    words, n_bits = key_filter(build, build_key, checked_rows)
+    return inner_join(build, may_join(probe, probe_key, words, n_bits), [build_key], [probe_key])
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -95,11 +95,11 @@ def choose(workload: Workload, query: Query, frames: Mapping[str, DataFrame], st
     return Plan(tuple(order), view, tuple(t for t in order if kinds[t] == "lookup" and t not in view), cost)
 
 
-def planned(workload: Workload, query: Query, frames: Mapping[str, DataFrame], plan: Plan, views: Mapping[tuple[str, ...], DataFrame] | None = None, summaries: Sequence[Summary] = ()) -> DataFrame:
-    """The query by a chosen plan.  A lookup is a hint to hash the table by its key rather than sort both sides."""
+def planned(workload: Workload, query: Query, frames: Mapping[str, DataFrame], plan: Plan, views: Mapping[tuple[str, ...], DataFrame] | None = None, summaries: Sequence[Summary] = (), versions: Mapping[str, str] | None = None) -> DataFrame:
+    """The query by a chosen plan.  A table that is looked up is one in buckets of its key (frames has it), which isn't shuffled."""
     if plan.view:
         return star.from_view(workload, query, (views or {})[plan.view], plan.view, frames)
-    return star.star_join(workload, query, frames, plan.order, summaries, {t: "shuffle_hash" for t in plan.lookups})
+    return star.star_join(workload, query, frames, plan.order, summaries, versions=versions)
 
 
 def advisor_uses(workload: Workload, queries: Iterable[Query], frames: Mapping[str, DataFrame], stats: Statistics) -> list[Use]:

@@ -19,20 +19,23 @@ def _needed(workload: Workload, query: Query, table: str) -> list[str]:
     return list(dict.fromkeys([*keys, *scan.projections]))
 
 
-def scan_of(workload: Workload, query: Query, table: str, frame: DataFrame, summaries: Sequence[Summary] = ()) -> DataFrame:
+def scan_of(workload: Workload, query: Query, table: str, frame: DataFrame, summaries: Sequence[Summary] = (), versions: Mapping[str, str] | None = None) -> DataFrame:
     """One table's part: filters and summary checks, then the columns still needed, as table__column."""
     df = frame.where(conjunction(query.scans[table].filters))
     checks = [(s, f) for s in summaries if s.target == table and s.source in query.scans for f in query.scans[s.source].filters]
-    df = reduced(df, checks)
+    df = reduced(df, checks, versions)
     return df.select(*[F.col(c).alias(f"{table}__{c}") for c in _needed(workload, query, table)])
 
 
-def star_join(workload: Workload, query: Query, frames: Mapping[str, DataFrame], order: Sequence[str] | None = None, summaries: Sequence[Summary] = (), hints: Mapping[str, str] | None = None) -> DataFrame:
-    """Central table first, then the others in the given order; Catalyst takes it as a hint.  Counted if the query says so."""
+def star_join(workload: Workload, query: Query, frames: Mapping[str, DataFrame], order: Sequence[str] | None = None, summaries: Sequence[Summary] = (), hints: Mapping[str, str] | None = None, versions: Mapping[str, str] | None = None) -> DataFrame:
+    """Central table first, then the others in the given order; Catalyst takes it as a hint.  Counted if the query says so.
+
+    versions: of the summaries' sources, as artefacts.version() has them; a summary of another one is refused.
+    """
     order = list(order or [t for t in query.scans if t != workload.central])
-    df = scan_of(workload, query, workload.central, frames[workload.central], summaries)
+    df = scan_of(workload, query, workload.central, frames[workload.central], summaries, versions)
     for t in order:
-        part = scan_of(workload, query, t, frames[t], summaries)
+        part = scan_of(workload, query, t, frames[t], summaries, versions)
         if hints and t in hints:
             part = part.hint(hints[t])
         df = df.join(part, link(workload, t), "inner")
@@ -83,8 +86,8 @@ def from_view(workload: Workload, query: Query, view: DataFrame, view_tables: Se
 
 
 def index_join(keys: DataFrame, key: str, lookup: DataFrame, lookup_key: str, checked_rows: int, limit: int = 100_000) -> DataFrame:
-    """Rows of lookup for the keys.  The key side is broadcast if its checked row count is small, else hashed and shuffled."""
-    return lookup.join(keys.hint("broadcast" if checked_rows <= limit else "shuffle_hash"), lookup[lookup_key] == keys[key], "inner")
+    """Rows of lookup for the keys.  The key side is broadcast if its checked row count is small, else left to the planner."""
+    return lookup.join(F.broadcast(keys) if checked_rows <= limit else keys, lookup[lookup_key] == keys[key], "inner")
 
 
 def link_path(links: Sequence[tuple[str, str]], start: str, goal: str) -> list[str] | None:

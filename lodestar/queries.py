@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
@@ -15,7 +15,7 @@ from lodestar.functions.predicates import Filter, Parameter, conjunction, decode
 from lodestar.operators import key_summary as ks
 from lodestar.operators import relational as rel
 from lodestar.operators import statistics as st
-from lodestar.plans import runner, star
+from lodestar.plans import artefacts, runner, star
 from lodestar.plans.workload import Query, Scan, Table, Workload, read_queries, read_workload
 from lodestar.sources.tables import read_parquet, update
 
@@ -39,8 +39,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a local one in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{artefacts.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Scans, projections and predicates
@@ -238,7 +238,8 @@ def inner_join(spark, sf_dir):
 
 @register("bloom_join", _JOIN_SQL)
 def bloom_join(spark, sf_dir):
-    return rel.bloom_join(_priced(spark, sf_dir), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey", "l_linenumber", "l_quantity")
+    priced = _priced(spark, sf_dir)
+    return rel.bloom_join(priced, table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey", priced.count()).select("o_orderkey", "l_linenumber", "l_quantity")
 
 
 @register("index_join", _JOIN_SQL)
@@ -393,11 +394,30 @@ def order_summary(spark, sf_dir, bits: int = 16, offset: int = 0) -> ks.Summary:
 
 
 def _with_order_bits(spark, sf_dir) -> tuple[DataFrame, ks.Summary]:
+    """lineitem with bits made on the spot; what is stored is in _summarised()."""
     summary = order_summary(spark, sf_dir)
     bits = ks.build(table(spark, sf_dir, "orders"), "o_orderkey", summary)
     return ks.attach(table(spark, sf_dir, "lineitem"), "l_orderkey", bits), summary
 
 
+def _summarised(spark, sf_dir) -> tuple[dict[str, DataFrame], list[ks.Summary], dict[str, str]]:
+    """The star's tables with lineitem's stored summaries by orders and part, and the versions of these: built on first use."""
+    frames = star_frames(spark, sf_dir)
+    orders, part = frames["orders"], frames["part"]
+    lineitem = frames["lineitem"].select(*LINEITEM_STAR.tables["lineitem"].columns)
+    versions = {"orders": artefacts.version(orders), "part": artefacts.version(part)}
+
+    def make(path: str) -> None:
+        by_part = ks.Summary("part", "p_size", "lineitem", st.equi_depth(part, "p_size", 32), 32, 16, version=versions["part"])
+        by_order = replace(order_summary(spark, sf_dir), version=versions["orders"])
+        rows = ks.attach(lineitem, "l_orderkey", ks.build(orders, "o_orderkey", by_order))
+        rows = ks.attach(rows, "l_partkey", ks.build(part, "p_partkey", by_part))
+        artefacts.store_summaries(rows, [by_order, by_part], path)
+
+    rows, summaries = artefacts.read_summaries(spark, artefacts.built(spark, "lineitem-star", [lineitem, orders, part], make))
+    return frames | {"lineitem": rows}, summaries, versions
+
+
 @register("ks_build", "SELECT o_custkey AS key, bit_or(1::BIGINT << (least(greatest(floor(o_totalprice / 50000), 0), 9))::INT) AS bits FROM orders GROUP BY 1")
 def ks_build(spark, sf_dir):
     lows = tuple(50000.0 * k for k in range(10))
@@ -422,18 +442,15 @@ for _name, (_filter, _where) in _KS.items():
 
     @register(f"ks_join_{_name}", f"SELECT count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE {_where}")
     def ks_join(spark, sf_dir, filter_=_filter):
-        lineitem, summary = _with_order_bits(spark, sf_dir)
+        frames, summaries, versions = _summarised(spark, sf_dir)
         query = Query("ks", {"lineitem": Scan("lineitem"), "orders": Scan("orders", filters=(filter_,))}, count=True)
-        return star.star_join(LINEITEM_STAR, query, {"lineitem": lineitem, "orders": table(spark, sf_dir, "orders")}, summaries=[summary])
+        return star.star_join(LINEITEM_STAR, query, frames, summaries=summaries, versions=versions)
 
 
 @register("ks_join_two", star_sql(["lineitem", "orders", "part"]))
 def ks_join_two(spark, sf_dir):
-    lineitem, by_order = _with_order_bits(spark, sf_dir)
-    by_part = ks.Summary("part", "p_size", "lineitem", st.equi_depth(table(spark, sf_dir, "part"), "p_size", 32), 32, 16)
-    lineitem = ks.attach(lineitem, "l_partkey", ks.build(table(spark, sf_dir, "part"), "p_partkey", by_part))
-    frames = star_frames(spark, sf_dir) | {"lineitem": lineitem}
-    return star.star_join(LINEITEM_STAR, star_query(["lineitem", "orders", "part"]), frames, summaries=[by_order, by_part])
+    frames, summaries, versions = _summarised(spark, sf_dir)
+    return star.star_join(LINEITEM_STAR, star_query(["lineitem", "orders", "part"]), frames, summaries=summaries, versions=versions)
 
 
 @register("ks_compound", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_orderpriority < '2')")
@@ -468,8 +485,8 @@ def ks_after_update(spark, sf_dir):
 def view_join(spark, sf_dir):
     frames = star_frames(spark, sf_dir)
     needed = {t: frames[t].select(*LINEITEM_STAR.tables[t].columns) for t in frames}
-    view = star.build_view(LINEITEM_STAR, ["orders"], needed, shared_path(spark, "view"))
-    return star.from_view(LINEITEM_STAR, star_query(["lineitem", "orders", "part"]), view, ["orders"], frames)
+    path = artefacts.built(spark, "view-lineitem-orders", [needed["lineitem"], needed["orders"]], lambda to: star.build_view(LINEITEM_STAR, ["orders"], needed, to))
+    return star.from_view(LINEITEM_STAR, star_query(["lineitem", "orders", "part"]), read_parquet(spark, path), ["orders"], frames)
 
 
 # End to end
@@ -527,3 +544,7 @@ def dense_codes(spark, sf_dir):
     """Order-preserving codes of a dictionary: ranks among the distinct values, of which there are few."""
     values = table(spark, sf_dir, "orders").select("o_orderpriority").distinct()
     return values.withColumn("code", F.dense_rank().over(Window.orderBy("o_orderpriority")) - 1)
+
+
+# The queries of the plans register themselves with these.
+from lodestar import plan_queries  # noqa: E402, F401

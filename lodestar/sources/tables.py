@@ -56,6 +56,16 @@ def overwrite(df: DataFrame, path: str, cluster_by: str | None = None) -> None:
     (df.sortWithinPartitions(cluster_by) if cluster_by else df).write.mode("overwrite").parquet(path)
 
 
+def create_table(df: DataFrame, name: str, path: str) -> None:
+    """A table of that name in the catalogue, its files under path."""
+    df.write.option("path", path).saveAsTable(name)
+
+
+def clear_table(spark: SparkSession, name: str) -> None:
+    """Empties a table and keeps its schema."""
+    spark.createDataFrame([], spark.table(name).schema).write.insertInto(name, overwrite=True)
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 

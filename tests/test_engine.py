@@ -88,7 +88,7 @@ def test_joins_by_nested_loops(spark):
         loop = probe.crossJoin(build).where(" AND ".join(f"{x} = p{x}" for x in keys))
         assert rel.inner_join(build, probe, keys, ["p" + x for x in keys]).count() == loop.count()
         assert rel.semi_join(build, probe, keys, ["p" + x for x in keys]).count() == loop.select("k").distinct().count()
-    assert rel.bloom_join(build, probe, "k", "pk").count() == 420
+    assert rel.bloom_join(build, probe, "k", "pk", 210).count() == 420
 
 
 def test_statistics(spark, numbers):
@@ -169,7 +169,7 @@ def test_reduced_plans_keep_all_answers(spark):
         assert kept.count() < target.count()
     stale = ks.Summary("source", "v", "target", summary.histogram, 16, version="1")
     with pytest.raises(ValueError, match="version"):
-        ks.reduced(with_bits, [(stale, filter_)], version="2")
+        ks.reduced(with_bits, [(stale, filter_)], {"source": "2"})
     assert ks.reset(with_bits).where("ks <> 0").count() == 0
 
 

@@ -32,6 +32,23 @@ def test_query(spark, db, name):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
+@pytest.mark.parametrize(("name", "key"), [("sort_asc", lambda r: r.o_totalprice), ("sort_desc", lambda r: -r.o_totalprice), ("sort_multi", lambda r: ([-ord(c) for c in r.o_orderpriority], r.o_totalprice)), ("freq_desc", lambda r: -r.freq)])
+def test_order(spark, name, key):
+    rows = QUERIES[name](spark, FOLDER).collect()
+    assert [key(r) for r in rows] == sorted(key(r) for r in rows)
+
+
+def test_stale_summary_is_refused(spark):
+    from lodestar.plans import star
+    from lodestar.queries import LINEITEM_STAR, _summarised, star_query
+
+    frames, summaries, versions = _summarised(spark, FOLDER)
+    query = star_query(["lineitem", "orders"])
+    for now in (None, versions | {"orders": "another"}):
+        with pytest.raises(ValueError, match="version"):
+            star.star_join(LINEITEM_STAR, query, frames, summaries=summaries, versions=now)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -13,11 +13,15 @@ from collections.abc import Callable, Sequence
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from lodestar.operators import key_summary as ks
 from lodestar.operators.statistics import Histogram
 
+#: What this program has built: folders by (program, name, versions), the notes in them, and tables of the catalogue.
 _BUILT: dict[tuple[str, str, str], str] = {}
+_NOTES: dict[str, str] = {}
+_TABLES: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,13 +60,16 @@ def built(spark: SparkSession, name: str, made_from: Sequence[DataFrame], make:
 def store_summaries(target: DataFrame, summaries: Sequence[ks.Summary], path: str) -> None:
     """Writes a target that has its summaries' column, and the summaries with their versions."""
     target.write.mode("overwrite").parquet(f"{path}/rows")
-    notes = json.dumps([asdict(s) | {"histogram": s.histogram.to_json()} for s in summaries])
+    notes = json.dumps({"schema": target.schema.json(), "summaries": [asdict(s) | {"histogram": s.histogram.to_json()} for s in summaries]})
     target.sparkSession.createDataFrame([(notes,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/summaries")
 
 
 def read_summaries(spark: SparkSession, path: str) -> tuple[DataFrame, list[ks.Summary]]:
-    notes = json.loads(spark.read.text(f"{path}/summaries", wholetext=True).first()[0])
-    return spark.read.parquet(f"{path}/rows"), [ks.Summary(**n | {"histogram": Histogram.from_json(n["histogram"])}) for n in notes]
+    if path not in _NOTES:
+        _NOTES[path] = spark.read.text(f"{path}/summaries", wholetext=True).first()[0]
+    notes = json.loads(_NOTES[path])
+    rows = spark.read.schema(StructType.fromJson(json.loads(notes["schema"]))).parquet(f"{path}/rows")
+    return rows, [ks.Summary(**n | {"histogram": Histogram.from_json(n["histogram"])}) for n in notes["summaries"]]
 
 
 def keyed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
@@ -76,5 +83,3 @@ def keyed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
 
     return spark.table(_TABLES[built(spark, f"{name}-{key}-{buckets}", [df], make)])
 
-
-_TABLES: dict[str, str] = {}

@@ -24,12 +24,12 @@ def _shingle_texts(data: np.ndarray, w: tk.Words, at: np.ndarray, width: np.ndar
 
 
 def item_shingles(items: DataFrame, size: int) -> DataFrame:
-    """item_id, length (words), at (word position), width, shingle, bit (its place in the filter); none for items without words."""
+    """item (a number of each row of items), item_id, length (words), at (word position), width, shingle, bit (its place in the filter); none for items without words."""
     id_type = items.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = tk.utf8(batch.column(1))
+            data, offsets = tk.utf8(batch.column(2))
             w = tk.words(data, offsets, tk.NON_WORD)
             lengths = np.diff(w.first)
             for width in range(1, size + 1):
@@ -44,16 +44,17 @@ def item_shingles(items: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(owner)),
+                        batch.column(1).take(pa.array(owner)),
                         pa.array(lengths[owner]),
                         pa.array((run_at - w.first[owner]).astype(np.int64)),
                         pa.array(widths),
                         pa.array(_shingle_texts(data, w, run_at, widths), pa.string()),
                         pa.array(bits),
                     ],
-                    ["item_id", "length", "at", "width", "shingle", "bit"],
+                    ["item", "item_id", "length", "at", "width", "shingle", "bit"],
                 )
 
-    return items.select("item_id", "text").mapInArrow(run, f"item_id {id_type}, length long, at long, width int, shingle string, bit int")
+    return items.select(F.monotonically_increasing_id().alias("item"), "item_id", "text").mapInArrow(run, f"item long, item_id {id_type}, length long, at long, width int, shingle string, bit int")
 
 
 def occurrences(docs: DataFrame, shingles: DataFrame, size: int) -> DataFrame:
@@ -133,7 +134,7 @@ def stretches(at: np.ndarray, code: np.ndarray, reach: int, need: int, lead: int
 
 
 def _verified(held: DataFrame) -> DataFrame:
-    """row, item_id, at, width of the windows in good stretches; held has what each document has of each item."""
+    """row, item, at, width of the windows in good stretches; held has what each document has of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,13 +151,13 @@ def _verified(held: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(good)), [len(g) for g in good])
             take = pa.array(owner, pa.int64())
             places = np.concatenate([np.zeros(0, np.int64), *good])
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("item_id").take(take), pa.array(places), pa.array(width[owner])], ["row", "item_id", "at", "width"])
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(take), batch.column("item").take(take), pa.array(places), pa.array(width[owner])], ["row", "item", "at", "width"])
 
-    return held.mapInArrow(run, f"row long, item_id {held.schema['item_id'].dataType.simpleString()}, at long, width int")
+    return held.mapInArrow(run, "row long, item long, at long, width int")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment: float | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted strings), spans: what each document holds of each item.
+    """doc_id, n_words, n_hit, items (sorted strings), spans, held (any item, named or not): what each document holds of each item.
 
     An item is its set of windows of `size` consecutive words (one shorter window if it has fewer words).
     A document holds an item if some stretch of the document, as long as the item, has enough of its windows:
@@ -173,9 +174,9 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
     shingles = stored(item_shingles(items.select("item_id", "text"), size))
     seen = stored(occurrences(docs, shingles, size))
     rare = seen.select(F.explode(F.array_distinct("hits.shingle")).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n_docs"))
-    #: An item is told from others by its text as well, so that null and repeated ids do no harm.
-    item = shingles.groupBy("item_id", "length", "shingle", "width").agg(F.min("at").alias("item_at"))
-    own = Window.partitionBy("item_id", "length")
+    # Each row of items is an item of its own, so that null and repeated ids do no harm.
+    item = shingles.select("item", "length", "shingle", "width").distinct()
+    own = Window.partitionBy("item")
     item = item.join(rare, "shingle", "left").withColumn("n", F.count("*").over(own))
     share = F.lit(0.0) if containment is None else F.lit(float(containment))
     item = item.withColumn("need", F.greatest(F.lit(1), F.ceil(F.col("n") * share)))
@@ -186,18 +187,19 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
     long_enough = F.col("n_words") >= F.col("width") + F.col("need") - 1
     if containment is None:
         # Every window is in the prefix and each one found is a match by itself.
-        match = hits.join(item.where("code <= lead"), ["shingle", "width"]).where(long_enough).select("row", "item_id", "at", "width")
+        match = hits.join(item.where("code <= lead"), ["shingle", "width"]).where(long_enough).select("row", "item", "at", "width")
     else:
         probe = hits.join(item.where("code <= lead"), ["shingle", "width"]).where(long_enough)
         # Only documents with a joined window are looked at again.
-        near = probe.select("row", "length", F.col("item_id").alias("near_id")).distinct()
-        all_hits = hits.join(item, ["shingle", "width"]).join(near, ["row", "length"]).where(F.col("item_id").eqNullSafe(F.col("near_id")))
-        held = all_hits.groupBy("row", "item_id", "length", "need", "lead", "width").agg(F.array_sort(F.collect_set(F.struct("at", "code"))).alias("found"))
+        near = probe.select("row", "item").distinct()
+        all_hits = hits.join(item, ["shingle", "width"]).join(near, ["row", "item"])
+        held = all_hits.groupBy("row", "item", "length", "need", "lead", "width").agg(F.array_sort(F.collect_set(F.struct("at", "code"))).alias("found"))
         match = _verified(held)
 
-    per = match.groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    match = match.join(shingles.select("item", F.col("item_id").cast("string").alias("name")).distinct(), "item")
+    per = match.groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.sort_array(F.collect_set("name")).alias("items"), F.lit(True).alias("held"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1))))
-    per = per.select("row", "items", F.array_sort("spans").alias("spans"), F.size(covered).cast("long").alias("n_hit"))
+    per = per.select("row", "items", "held", F.array_sort("spans").alias("spans"), F.size(covered).cast("long").alias("n_hit"))
     out = seen.select("row", "doc_id", "n_words").join(per, "row", "left")
     return out.select(
         "doc_id",
@@ -205,6 +207,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("spans", F.array().cast("array<struct<at: long, width: int>>")).alias("spans"),
+        F.coalesce("held", F.lit(False)).alias("held"),
     )
 
 

@@ -15,7 +15,6 @@ from lodestar.llm.shared import frugal, in_rest, load, shuffle_partitions
 
 TABLE_BITS = 16
 SLICES = 16
-MAX_LANGUAGES = 256
 _NO_LETTER = tk.separators((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 _LETTER = regex.compile(r"\p{L}")
 _WORDS_AT_ONCE = 100_000
@@ -39,8 +38,9 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities [2^TABLE_BITS, languages]) from the rows (lang, text) with a language.
 
-    Trigrams of all texts are counted, in tables of fixed size for each language; the tables are summed up
-    in slices, streaming, so no task holds more than a few of them however many tasks counted.
+    Trigrams of all texts are counted, in tables of fixed size (half a MB) for each language; the tables are
+    summed up in slices, streaming, so no task holds more than a few of them however many tasks counted.  The
+    model has a quarter of a MB for each language.
     """
     spark = docs.sparkSession
 
@@ -72,9 +72,6 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([table.tobytes()])], ["lang", "slice", "counts"])
 
     kind = "lang string, slice int, counts binary"
-    n_langs = docs.where("lang is not null").agg(F.count_distinct("lang")).first()[0]
-    if n_langs > MAX_LANGUAGES:
-        raise ValueError(f"{n_langs} languages; the model is made for {MAX_LANGUAGES} at most")
     counted = docs.where("lang is not null").select("lang", "text").mapInArrow(frugal(count), kind)
     summed = counted.repartition(shuffle_partitions(spark), "lang", "slice").mapInArrow(add, kind).toArrow()
     languages = sorted(set(summed.column("lang").to_pylist()))
@@ -86,13 +83,12 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-def mixtures(model: np.ndarray, data: np.ndarray, w: tk.Words, rounds: int = 6, most: int = 3, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(model: np.ndarray, data: np.ndarray, w: tk.Words, rounds: int = 6, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, chosen) for each document and language.
 
     Words are drawn from one language each; a word's likelihood is that of its trigrams.  Expectation-
-    maximisation gives the proportions.  Then sets of the 1, 2, ... largest are compared by log-likelihood,
-    less penalty * log(words) for each language beyond the first; chosen marks the best set, and the
-    proportions are within it.
+    maximisation gives the proportions.  Then languages are added, largest first, as long as the log-likelihood
+    rises by more than penalty * log(words) for each; chosen marks the set.
     """
     n_langs = model.shape[1]
     like = np.empty((len(w.start), n_langs), np.float32)
@@ -117,14 +113,22 @@ def mixtures(model: np.ndarray, data: np.ndarray, w: tk.Words, rounds: int = 6,
     order = np.argsort(-share[some], axis=1, kind="stable")
     best = np.full(len(some), -np.inf)
     size = np.ones(len(some), int)
-    for k in range(1, min(most, n_langs) + 1):
-        inside = np.zeros((len(some), n_langs), np.float32)
-        np.put_along_axis(inside, order[:, :k], np.take_along_axis(share[some], order[:, :k], 1), 1)
+    rising = np.arange(len(some))
+    for k in range(1, n_langs + 1):
+        if not len(rising):
+            break
+        own = order[rising, :k]
+        inside = np.zeros((len(rising), n_langs), np.float32)
+        np.put_along_axis(inside, own, np.take_along_axis(share[some[rising]], own, 1), 1)
         inside /= inside.sum(axis=1, keepdims=True)
-        fit = np.log(np.maximum(np.einsum("ij,ij->i", like, np.repeat(inside, n, axis=0)), 1e-30), dtype=np.float64)
-        fit = np.add.reduceat(fit, starts) - penalty * (k - 1) * np.log(n + 1)
-        better = fit > best
-        best[better], size[better] = fit[better], k
+        counts = n[rising]
+        first = np.cumsum(counts) - counts
+        at = np.arange(int(counts.sum())) + np.repeat(starts[rising] - first, counts)
+        fit = np.log(np.maximum(np.einsum("ij,ij->i", like[at], np.repeat(inside, counts, axis=0)), 1e-30), dtype=np.float64)
+        fit = np.add.reduceat(fit, first) - penalty * (k - 1) * np.log(counts + 1)
+        better = fit > best[rising]
+        rising, fit = rising[better], fit[better]
+        best[rising], size[rising] = fit, k
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(n_langs)[None, :].repeat(len(some), 0), 1)
     chosen[some] = rank < size[:, None]
@@ -132,9 +136,9 @@ def mixtures(model: np.ndarray, data: np.ndarray, w: tk.Words, rounds: int = 6,
 
 
 def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> DataFrame:
-    """Every row of docs as (row, lang_pred, score, languages): row holds all columns, languages the chosen set, largest first.
+    """Every row of docs as (row, lang_pred, score, languages, covered): row holds all columns, languages the chosen set, largest first.
 
-    lang_pred is the language of the largest proportion, score that proportion; `und` and 0 if the text is
+    lang_pred is the language of the largest proportion, score that proportion, covered the set's; `und` and 0 if the text is
     null or has no letter, or if no language was learned.  Repeated rows stay repeated.
     """
     sent = docs.sparkSession.sparkContext.broadcast((languages, model))
@@ -143,7 +147,7 @@ def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> Data
         names, table = sent.value
         for batch in batches:
             data, offsets = tk.utf8(batch.column(1))
-            pred, score, sets = [], [], []
+            pred, score, sets, covered = [], [], [], []
             for a, b in tk.document_blocks(offsets, tk.PIECE):
                 part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 w = tk.words(part, at, _NO_LETTER, hashed=False)
@@ -158,16 +162,18 @@ def identified(docs: DataFrame, languages: list[str], model: np.ndarray) -> Data
                         pred.append("und")
                         score.append(0.0)
                         sets.append([])
+                        covered.append(0.0)
                         continue
                     held = np.flatnonzero(chosen[d])
                     held = held[np.argsort(-share[d][held], kind="stable")]
                     pred.append(names[held[0]])
                     score.append(min(1.0, float(share[d][held[0]])))
                     sets.append([names[k] for k in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string()))], ["row", "lang_pred", "score", "languages"])
+                    covered.append(min(1.0, float(share[d][held].sum())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(covered, pa.float64())], ["row", "lang_pred", "score", "languages", "covered"])
 
     rows = docs.select(F.struct("*").alias("row"), "text")
-    return rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages array<string>")
+    return rows.mapInArrow(frugal(run), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, languages array<string>, covered double")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,12 +88,13 @@ class Ordinal:
         return np.ones(len(score)) if not below else 1 - self.cumulative(score)[:, below - 1]
 
 
-def fit(rows: list[np.ndarray], index: list[np.ndarray], grade: np.ndarray, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
-    """Maximum likelihood by Adam on sparse rows (values, feature indices); ordered by gaps that are exponentials."""
+def fit(rows: list[np.ndarray], index: list[np.ndarray], grade: np.ndarray, weight: np.ndarray | None = None, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Ordinal:
+    """Maximum likelihood by Adam on sparse rows (values, feature indices), each counting as its weight; ordered by gaps that are exponentials."""
     grades = np.unique(grade)
     if len(grades) < 2:
         return Ordinal(grades if len(grades) else np.zeros(1), np.zeros(SIZE), np.zeros(max(0, len(grades) - 1)))
     y = np.searchsorted(grades, grade)
+    weight = np.ones(len(rows)) if weight is None else weight * (len(rows) / weight.sum())
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value, feature = np.concatenate(rows), np.concatenate(index)
     used, feature = np.unique(feature, return_inverse=True)
@@ -101,7 +102,7 @@ def fit(rows: list[np.ndarray], index: list[np.ndarray], grade: np.ndarray, roun
     scale = 1 / np.sqrt(np.bincount(feature, value**2) / len(rows) + 1e-8)
     value = value * scale[feature] / np.sqrt(len(used))
     parameters = np.zeros(len(used) + len(grades) - 1)
-    parameters[len(used)] = np.log((y == 0).mean() / (1 - (y == 0).mean()))
+    parameters[len(used)] = np.log(weight[y == 0].sum() / weight[y > 0].sum())
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
     n, k = len(rows), len(grades) - 1
     for step in range(1, rounds + 1):
@@ -112,10 +113,10 @@ def fit(rows: list[np.ndarray], index: list[np.ndarray], grade: np.ndarray, roun
         slope = c * (1 - c)
         hi, lo = slope[np.arange(n), y + 1], slope[np.arange(n), y]
         p = np.maximum(c[np.arange(n), y + 1] - c[np.arange(n), y], 1e-12)
-        by_score = (hi - lo) / p / n
+        by_score = weight * (hi - lo) / p / n
         by_cut = np.zeros(k + 2)
-        np.add.at(by_cut, y + 1, -hi / p / n)
-        np.add.at(by_cut, y, lo / p / n)
+        np.add.at(by_cut, y + 1, -weight * hi / p / n)
+        np.add.at(by_cut, y, weight * lo / p / n)
         by_cut = by_cut[1:-1]
         tail = np.cumsum(by_cut[::-1])[::-1]
         gradient = np.concatenate((np.bincount(feature, value * by_score[owner], len(used)) + decay * w, [tail[0]], tail[1:] * np.exp(raw[1:])))
@@ -129,7 +130,11 @@ def fit(rows: list[np.ndarray], index: list[np.ndarray], grade: np.ndarray, roun
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = SAMPLE) -> Ordinal:
-    """Fits on a bounded sample: per_grade labelled documents of each grade at most."""
+    """Fits on a bounded sample: per_grade labelled documents of each grade at most.
+
+    A sampled document counts for as many as its grade has for each one sampled, so probabilities are those
+    among all labelled rows, whatever the bound.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +151,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade:
     rows = sample.mapInArrow(run, "grade double, index binary, value binary").toArrow().sort_by([("grade", "ascending"), ("index", "ascending"), ("value", "ascending")])
     index = [np.frombuffer(x, np.int32) for x in rows.column("index").to_pylist()]
     value = [np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column("value").to_pylist()]
-    return fit(value, index, rows.column("grade").to_numpy())
+    grade = rows.column("grade").to_numpy()
+    known = labels.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("double").alias("grade")).agg(F.count("*").alias("n")).collect()
+    total = {r["grade"]: r["n"] for r in known}
+    weight = np.array([total[g] for g in grade.tolist()], np.float64)
+    names, code, held = np.unique(grade, return_inverse=True, return_counts=True)
+    return fit(value, index, grade, weight / held[code] if len(names) else weight)
 
 
 def graded(docs: DataFrame, model: Ordinal, at_least: float) -> DataFrame:

@@ -122,21 +122,28 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_grade: int, most_grades: int = 32) -> DataFrame:
+#: Rows of a labelled sample at most, whatever the number of grades.
+MOST_LABELLED = 64_000
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_grade: int) -> DataFrame:
     """(grade, text) of at most per_grade rows of each grade of labels[label], joined to docs by doc_id; written once.
 
-    Rows are taken by their id's hash, so a sample is the same every time.  It has per_grade * most_grades
-    rows at most, which is why it may be broadcast.
+    Rows are taken by their id's hash, so a sample is the same every time; of the texts of a repeated id the
+    first in order is taken.  It has MOST_LABELLED rows at most, fewer of each grade if there are many grades,
+    which is why it may be broadcast.  Over MOST_LABELLED grades are too many to learn.
     """
     known = labels.select("doc_id", F.col(label).alias("grade")).where("doc_id is not null and grade is not null")
-    grades = [r[0] for r in known.groupBy("grade").count().orderBy("grade").limit(most_grades + 1).collect()]
-    if len(grades) > most_grades:
-        raise ValueError(f"over {most_grades} grades")
+    grades = [r[0] for r in known.select("grade").distinct().orderBy("grade").limit(MOST_LABELLED + 1).collect()]
+    if len(grades) > MOST_LABELLED:
+        raise ValueError(f"over {MOST_LABELLED} grades")
     if not grades:
         return docs.sparkSession.createDataFrame([], "grade double, text string")
+    each = min(per_grade, max(1, MOST_LABELLED // len(grades)))
     picked = None
     for grade in grades:
-        part = known.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id")).limit(per_grade)
+        part = known.where(F.col("grade") == grade).orderBy(F.xxhash64("doc_id")).limit(each)
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    found = found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
     return stored(found.select(F.col("grade").cast("double").alias("grade"), "text"))

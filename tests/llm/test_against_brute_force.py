@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, interpolated_lm, line_dedup, maxscore, minhash, mixing, simhash, suffix_dedup
+from lodestar.llm import decontaminate, interpolated_lm, langid, line_dedup, maxscore, minhash, mixing, quality, simhash, suffix_dedup
 from lodestar.llm import textkernel as tk
 from lodestar.llm.queries import QUERIES
 from lodestar.llm.shared import components
@@ -329,16 +329,78 @@ def test_packing():
 
 def test_max_score_prunes_nothing_it_needs():
     rng = np.random.default_rng(4)
-    rows, queries = rng.integers(-90, 90, (700, 12)).astype(float), rng.integers(-90, 90, (9, 12)).astype(float)
-    ids, query_ids = np.arange(700), np.arange(9)
+    scale = np.array([1, 1, 1, 2, 2, 3, 5, 8, 13, 21, 34, 55])
+    rows, queries = rng.integers(-9, 9, (3000, 12)) * scale * 1.0, rng.integers(-9, 9, (9, 12)) * 1.0
+    ids, query_ids = np.arange(3000), np.arange(9)
     heaps = maxscore.Heaps(9, 5)
-    for a in range(0, 700, 64):
-        maxscore.max_score(queries, query_ids, rows[a : a + 64], ids[a : a + 64], heaps, 0)
+    read = sum(maxscore.max_score(queries, query_ids, rows[a : a + 64], ids[a : a + 64], heaps, 0) for a in range(0, 3000, 64))
     for q in range(9):
         score = rows @ queries[q]
         score[q] = -np.inf
         best = np.lexsort((ids, -score))[:5]
         assert heaps.ids[q].tolist() == best.tolist()
+    assert read < 0.6 * 9 * rows.size  # most of the smaller terms' postings are left alone
+
+
+def test_search_of_large_components(spark):
+    """Whole numbers beyond what doubles add up exactly take part with their exact scores."""
+    rng = random.Random(6)
+    rows = [(k, [rng.uniform(-1, 1) * 10.0 ** rng.randrange(0, 8) for _ in range(4)]) for k in range(60)] + [(60, [1e17, 1.0, 0.0, 0.0])]
+    vectors = maxscore.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {k: [math.floor(256 * x) for x in v] for k, v in rows}
+    found = defaultdict(list)
+    for r in maxscore.top_k(vectors, vectors.where("vec_id % 10 = 0"), 3).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    assert len(found) == 7
+    for q, best in found.items():
+        score = {k: min(max(sum(a * b for a, b in zip(whole[q], v, strict=True)), -(1 << 63)), (1 << 63) - 1) for k, v in whole.items() if k != q}
+        assert best == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:3]
+
+
+def test_quality_of_four_grades(spark):
+    """Grades by how many words are capitals: expected grades follow them, and shares are those of all rows, not of the sample."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for k in range(600):
+        grade = (0, 1, 2, 3, 3, 3)[k % 6]
+        rows.append((k, " ".join(w.upper() if rng.random() < 0.05 + 0.25 * grade + rng.uniform(-0.08, 0.08) else w for w in (word() for _ in range(80))), grade))
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for bound, apart in ((2000, 0.06), (60, 0.15)):
+        model = quality.train(table, table.select("doc_id", "quality"), per_grade=bound)
+        assert (np.diff(model.thresholds) > 0).all() and len(model.thresholds) == 3
+        out = quality.graded(table, model, 3).join(table.select("doc_id", "quality"), "doc_id").collect()
+        means = [np.mean([r.expected_grade for r in out if r.quality == g]) for g in range(4)]
+        assert all(abs(m - g) < 0.35 for g, m in enumerate(means))
+        assert abs(np.mean([r.tail_probability for r in out]) - 0.5) < apart
+
+
+def test_language_sets_of_many_languages(spark):
+    """A text in equal parts of five made languages has all five; one in one of 300 has that one."""
+    rng = random.Random(9)
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0x3B1, 0x3C9), *range(0x430, 0x450))]
+    own = {f"l{k:03d}": [["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))][0] for _ in range(12)] for k in range(300)}
+    text = lambda lang, n: " ".join(rng.choice(own[lang]) for _ in range(n))
+    languages, model = langid.train(spark.createDataFrame([(k, text(k, 300)) for k in own], "lang string, text string"))
+    assert len(languages) == 300
+    mixed = " ".join(text(k, 120) for k in list(own)[:5])
+    rows = spark.createDataFrame([(1, mixed), (2, text("l123", 60))], "doc_id long, text string")
+    found = {r.row.doc_id: r for r in langid.identified(rows, languages, model).collect()}
+    assert set(found[1].languages) == set(list(own)[:5]) and found[1].covered > 0.9 > found[1].score
+    assert found[2].languages == ["l123"]
+
+
+def test_repeated_and_unnamed_items(spark):
+    """Items of one id or none, of one length, are told apart: a whole copy of either is found at any containment."""
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a + " " + b), (4, "c " * 30)], "doc_id long, text string")
+    for ids in ((1, 2), (1, 1), (None, None)):
+        items = spark.createDataFrame(list(zip(ids, (a, b), strict=True)), "item_id long, text string")
+        for share in (None, 0.25, 0.75, 1.0):
+            found = {r.doc_id: r for r in decontaminate.contaminated(docs, items, 8, share).collect()}
+            assert [found[d].held for d in (1, 2, 3, 4)] == [True, True, True, False]
+            names = [[str(x) for x in sorted({i for i in p if i})] for p in (ids[:1], ids[1:], ids)]
+            assert [found[d]["items"] for d in (1, 2, 3)] == names and found[3].n_hit == 40
 
 
 def test_mixing_meets_its_limits(spark):

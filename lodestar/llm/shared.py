@@ -29,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodestar-")
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -54,6 +55,12 @@ def stored(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same for small tables by checkpoint(), whose files go with its last user if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that are stored within; what is to live on must be stored with `keep`."""
@@ -102,17 +109,17 @@ def components(links: DataFrame) -> DataFrame:
     linear, and no node's neighbours are ever gathered (minima are pre-aggregated, joins can be split).
     """
     spark = links.sparkSession
-    edges = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = checkpointed(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     steps: list[DataFrame] = []
     while not edges.isEmpty():
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(steps))).alias("o"), F.col(c).alias("v"))  # noqa: B023, E731
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         chosen = both.groupBy("a").agg(F.min(order("b")).alias("m"))
-        chosen = stored(chosen.select(F.col("a").alias("node"), F.least(order("a"), "m")["v"].alias("root")))
+        chosen = checkpointed(chosen.select(F.col("a").alias("node"), F.least(order("a"), "m")["v"].alias("root")))
         steps.append(chosen)
         left, right = chosen.toDF("a", "ra"), chosen.toDF("b", "rb")
         edges = edges.join(left, "a").join(right, "b").where("ra <> rb")
-        edges = stored(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        edges = checkpointed(edges.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if not steps:
         return spark.createDataFrame([], "node long, root long")
     out = steps.pop()

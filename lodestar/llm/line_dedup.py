@@ -100,19 +100,21 @@ class EditSimilar(minhash.Same):
             equal = sketch[a : a + rows, None] == sketch[None]
             before = equal.reshape(*equal.shape[:2], BANDS, ROWS)[:, :, :first].all(axis=3).any(axis=2)
             fits[a : a + rows] = (np.count_nonzero(equal, axis=2) >= AGREE * BANDS * ROWS) & ~before
-        if not np.triu(fits, 1).any():
-            return lambda x: fits[x, x + 1 :]
+        fits = np.triu(fits, 1)
+        some = np.flatnonzero(fits.any(axis=0) | fits.any(axis=1))
         # Bytes for letters: a letter may have four bytes, of which only the first is counted.
-        heads = [np.frombuffer(f[BANDS * ROWS :].translate(_HEAD), np.uint8) for f in forms]
-        bags = np.array([np.bincount(h, minlength=64)[1:] for h in heads], np.int32)
+        bags = np.zeros((n, 63), np.int32)
+        for k in some.tolist():
+            bags[k] = np.bincount(np.frombuffer(forms[k][BANDS * ROWS :].translate(_HEAD), np.uint8), minlength=64)[1:]
         size = bags.sum(axis=1)
 
         def fit(x: int) -> np.ndarray:
             out = fits[x, x + 1 :].copy()
             some = np.flatnonzero(out)
-            differ = bags[x + 1 :][some] - bags[x]
-            apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
-            out[some] = apart <= (1 - self.least) * np.maximum(size[x + 1 :][some], size[x]) + 1e-6
+            if len(some):
+                differ = bags[x + 1 :][some] - bags[x]
+                apart = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
+                out[some] = apart <= (1 - self.least) * np.maximum(size[x + 1 :][some], size[x]) + 1e-6
             return out
 
         return fit

@@ -127,8 +127,8 @@ def _rest(members: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
 
         found = []
         for x in range(len(held) - 1):
-            fit = near(x) & (mine[x + 1 :] != mine[x]) if apart else near(x)
-            for y in (np.flatnonzero(fit) + x + 1).tolist():
+            fit = np.flatnonzero(near(x)) + x + 1
+            for y in (fit[mine[fit] != mine[x]] if apart and len(fit) else fit).tolist():
                 a, b = top(held[x][4]), top(held[y][4])
                 if a != b and same(forms_[x], forms_[y]):
                     parent[b] = a

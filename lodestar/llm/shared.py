@@ -56,9 +56,16 @@ def stored(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same for small tables by checkpoint(), whose files go with its last user if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same for small tables by checkpoint(), whose files go with its last user if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+
+    A checkpoint keeps the size that Catalyst expects of its plan, a join's being the product of its sides'; where
+    each round joins the last one's tables, that number has three times the digits after each, until it fills the
+    driver.  So the rows come back as a plan of unknown size.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    rows = df.checkpoint(eager=True)._jdf.queryExecution().logical().rdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
 @contextmanager

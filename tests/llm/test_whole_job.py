@@ -5,10 +5,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import line_dedup, toxicity
 from lodestar.llm import textkernel as tk
+from lodestar.llm.shared import components
 
 SCHEMA = "doc_id long, text string"
 
@@ -110,3 +112,11 @@ def test_decontamination_by_row(spark, tmp_path):
     rows = [(None, item), (None, "a clean text"), (3, item), (3, "another clean text"), (4, "more of it"), (4, "more of it")]
     kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "a clean text"), (3, "another clean text"), (4, "more of it"), (4, "more of it")]
+
+
+def test_chains_of_links_keep_plans_small(spark):
+    """A chain takes many rounds; the size that Catalyst expects of each round's tables must not grow with all before."""
+    links = spark.range(1000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.col("id") + 1).alias("b"))
+    out = components(links)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 5000
+    assert out.count() == 1001 and out.select("root").distinct().count() == 1

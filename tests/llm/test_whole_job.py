@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import line_dedup, toxicity
+from lodestar.llm import line_dedup, shared, toxicity
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components
 
@@ -120,3 +120,19 @@ def test_chains_of_links_keep_plans_small(spark):
     out = components(links)
     assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 5000
     assert out.count() == 1001 and out.select("root").distinct().count() == 1
+
+
+def test_chains_of_near_copies_keep_plans_small(spark, monkeypatch):
+    """Windows that slide over one text: one group by a chain of links, and no table on the way expects to be huge."""
+    sizes, inner = [], shared.checkpointed
+
+    def watched(df):
+        out = inner(df)
+        sizes.append(out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return out
+
+    monkeypatch.setattr(shared, "checkpointed", watched)
+    words = [f"w{k}" for k in range(1500)]
+    rows = [(k, " ".join(words[5 * k : 5 * k + 60])) for k in range(288)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert [r.doc_id for r in kept] == [0] and len(sizes) > 6 and max(sizes) < 500

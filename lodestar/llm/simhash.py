@@ -139,22 +139,26 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distanc
 
     One row for each row of docs (key long, unique; text).  Rows of equal sets are one node, null and empty
     texts too.  Candidates are fingerprints within distance bits (linked()) and, as 64 bits don't tell a Jaccard
-    similarity of 0.8 from chance at that or any distance that can be searched, rows that share a band of
-    min-hashes; each link is verified on the whole sets.
+    similarity of 0.8 from chance at that or any distance that can be searched, rows whose prefixes share a
+    shingle (minhash.prefixes()), which all pairs of that similarity do; each link is verified on the whole sets.
     """
-    found = stored(minhash.sets(docs, size, True))
-    nodes = stored(found.groupBy("print").agg(F.min(F.struct("key", "bands")).alias("m")).select("print", "m.key", "m.bands"))
+    found = stored(minhash.prefixes(docs, size, similarity, minhash.common_shingles(docs, size)))
+    nodes = stored(found.groupBy("print").agg(F.min("key").alias("key")))
     prints = fingerprints(docs.select(F.col("key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "key")
     prints = stored(prints.join(nodes.select("key"), "key", "left_semi"))
     heads = stored(prints.groupBy("fingerprint").agg(F.min("key").alias("head")))
     near = linked(heads, distance).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
     pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(prints.join(heads, "fingerprint").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
-    filed = nodes.select("key", F.explode("bands").alias("block"))
-    leaders = stored(filed.groupBy("block").agg(F.min("key").alias("a"), F.count("*").alias("n")).where("n > 1").select("block", "a"))
-    tied = filed.join(leaders, "block").where("key <> a").select("block", "a", F.col("key").alias("b"))
-    links = stored(tied.unionByName(pairs.select(F.xxhash64("a", "b").alias("block"), "a", "b")))
-    wanted = docs.join(links.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-    roots = minhash.connected(links, stored(minhash.sets(wanted, size, False)), minhash.Jaccard(similarity)).withColumnRenamed("node", "key")
+    tied = minhash.ties(found)
+    for c in "ab":
+        tied = tied.join(nodes.select(F.col("print").alias(c), F.col("key").alias(f"{c}_key")), c)
+    links = stored(tied.select("block", F.col("a_key").alias("a"), F.col("b_key").alias("b")).unionByName(pairs.select(F.xxhash64("a", "b").alias("block"), "a", "b")))
+
+    def whole(keys: DataFrame) -> DataFrame:
+        keys = stored(keys.distinct())
+        return stored(minhash.sets(docs.join(F.broadcast(keys) if keys.count() <= minhash.FEW_KEYS else keys, "key", "left_semi"), size))
+
+    roots = minhash.connected(links, whole, minhash.Jaccard(similarity), found.select("key", "bags"), minhash.Bags(similarity)).withColumnRenamed("node", "key")
     named = nodes.select("print", "key").join(roots, "key", "left").select("print", F.coalesce("root", "key").alias("root"))
     return found.select("key", "print").join(named, "print").select("key", "root")
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import line_dedup, shared, toxicity
+from lodestar.llm import line_dedup, minhash, shared, toxicity
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components
 
@@ -136,3 +136,37 @@ def test_chains_of_near_copies_keep_plans_small(spark, monkeypatch):
     rows = [(k, " ".join(words[5 * k : 5 * k + 60])) for k in range(288)]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert [r.doc_id for r in kept] == [0] and len(sizes) > 6 and max(sizes) < 500
+
+
+def test_near_duplicates_lose_no_pair(spark):
+    """Pairs of Jaccard 0.8 that 24 bands of 5 min-hashes all missed, and whose fingerprints are 9 to 15 bits apart."""
+    rows = []
+    for k in (3936, 4507, 53028, 68517, 71621, 82686, 89795):
+        text = " ".join(f"w{9 * k + i}" for i in range(8))
+        rows += [(2 * k, text), (2 * k + 1, f"{text} w{9 * k + 8}")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(r.doc_id for r in kept) == [d for d, _ in rows[::2]]
+
+
+def test_prefixes_share_a_shingle(spark):
+    """Whatever is known as common, sets of Jaccard 0.8 share a shingle of their prefixes, and the bound by bags keeps them."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(1, 60))]
+        rows += [" ".join(base), " ".join(base + [f"w{rng.randrange(400)}" for _ in range(rng.randrange(8))])]
+    docs = spark.createDataFrame(list(enumerate(rows)), "key long, text string").coalesce(1)
+    whole = {r.key: np.frombuffer(r.shingles, np.uint64) for r in minhash.sets(docs, 5).collect()}
+    known = np.unique(np.concatenate(list(whole.values())))[::3]
+    found = minhash.prefixes(docs, 5, 0.8, (known, (known % np.uint64(7) + np.uint64(1)).astype(np.uint8)))
+    prefix = {r.key: set(r.prefix) for r in found.collect()}
+    bags = {r.key: r.bags for r in found.collect()}
+    same, may, forms = minhash.Jaccard(0.8), minhash.Bags(0.8), [whole[k].tobytes() for k in range(len(rows))]
+    near, pairs = may.near([bags[k] for k in range(len(rows))], 0), 0
+    for x in range(len(rows)):
+        fit = near(x)
+        for y in range(x + 1, len(rows)):
+            if alike(set(whole[x].tolist()), set(whole[y].tolist())) >= 0.8:
+                pairs += 1
+                assert prefix[x] & prefix[y] and fit[y - x - 1] and may(bags[x], bags[y]) and same(forms[x], forms[y])
+    assert pairs > 50 and sum(map(len, prefix.values())) < sum(map(len, whole.values())) / 3

@@ -68,6 +68,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by sorting and merging, for what grows with the corpus: Catalyst must not take it for small enough to broadcast.
+
+    It reckons an explode to give as many rows as it gets, and a Parquet table at its compressed size, so it
+    would send what fills the driver.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the tables that are stored within; what is to live on must be stored with `keep`."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import components, frugal, load, scratch, stored
+from lodestar.llm.shared import components, frugal, load, merged, scratch, stored
 
 SEED = 42
 
@@ -95,7 +95,7 @@ def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
     probes = [F.struct(F.lit(k).alias("segment"), value(k).bitwiseXOR(F.lit(m).cast("long")).alias("value")) for k in (0, 1) for m in ball(32, radius[k], 32 * (1 - k))]
     asked = prints.select("fingerprint", F.explode(F.array(*probes)).alias("entry")).select("entry.segment", "entry.value", F.col("fingerprint").alias("probe"))
     full = stored(filed.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("segment", "value"))
-    found = filed.join(full, ["segment", "value"], "left_anti").join(asked, ["segment", "value"]).where("fingerprint <> probe")
+    found = filed.join(full, ["segment", "value"], "left_anti").join(merged(asked), ["segment", "value"]).where("fingerprint <> probe")
     found = found.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("probe"))) <= distance)
     links = found.select(F.col("fingerprint").alias("a"), F.col("probe").alias("b"))
     if full.isEmpty():
@@ -128,10 +128,10 @@ def near_duplicates(docs: DataFrame, size: int = 3, distance: int = 2) -> DataFr
     with scratch(docs.sparkSession):
         nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")))
         roots = components(linked(nodes, distance)).withColumnRenamed("node", "fingerprint")
-        nodes = stored(nodes.join(roots, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
+        nodes = stored(nodes.join(merged(roots), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint")))
         smallest = stored(nodes.groupBy("root").agg(F.min("smallest").alias("component_id")))
-        named = stored(nodes.join(smallest, "root").select("fingerprint", "component_id"), keep=True)
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+        named = stored(nodes.join(merged(smallest), "root").select("fingerprint", "component_id"), keep=True)
+    return prints.join(merged(named), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 2) -> DataFrame:
@@ -145,13 +145,13 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distanc
     found = stored(minhash.prefixes(docs, size, similarity, minhash.common_shingles(docs, size)))
     nodes = stored(found.groupBy("print").agg(F.min("key").alias("key")))
     prints = fingerprints(docs.select(F.col("key").alias("doc_id"), "text"), size).withColumnRenamed("doc_id", "key")
-    prints = stored(prints.join(nodes.select("key"), "key", "left_semi"))
+    prints = stored(prints.join(merged(nodes.select("key")), "key", "left_semi"))
     heads = stored(prints.groupBy("fingerprint").agg(F.min("key").alias("head")))
-    near = linked(heads, distance).join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b")
-    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(prints.join(heads, "fingerprint").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
+    near = linked(heads, distance).join(merged(heads.toDF("a", "x")), "a").join(merged(heads.toDF("b", "y")), "b")
+    pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(prints.join(merged(heads), "fingerprint").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b")))
     tied = minhash.ties(found)
     for c in "ab":
-        tied = tied.join(nodes.select(F.col("print").alias(c), F.col("key").alias(f"{c}_key")), c)
+        tied = tied.join(merged(nodes.select(F.col("print").alias(c), F.col("key").alias(f"{c}_key"))), c)
     links = stored(tied.select("block", F.col("a_key").alias("a"), F.col("b_key").alias("b")).unionByName(pairs.select(F.xxhash64("a", "b").alias("block"), "a", "b")))
 
     def whole(keys: DataFrame) -> DataFrame:
@@ -159,8 +159,8 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8, distanc
         return stored(minhash.sets(docs.join(F.broadcast(keys) if keys.count() <= minhash.FEW_KEYS else keys, "key", "left_semi"), size))
 
     roots = minhash.connected(links, whole, minhash.Jaccard(similarity), found.select("key", "bags"), minhash.Bags(similarity)).withColumnRenamed("node", "key")
-    named = nodes.select("print", "key").join(roots, "key", "left").select("print", F.coalesce("root", "key").alias("root"))
-    return found.select("key", "print").join(named, "print").select("key", "root")
+    named = nodes.select("print", "key").join(merged(roots), "key", "left").select("print", F.coalesce("root", "key").alias("root"))
+    return found.select("key", "print").join(merged(named), "print").select("key", "root")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

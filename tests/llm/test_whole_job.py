@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import line_dedup, minhash, shared, toxicity
+from lodestar.llm import line_dedup, minhash, shared, simhash, toxicity
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components
 
@@ -170,3 +170,22 @@ def test_prefixes_share_a_shingle(spark):
                 pairs += 1
                 assert prefix[x] & prefix[y] and fit[y - x - 1] and may(bags[x], bags[y]) and same(forms[x], forms[y])
     assert pairs > 50 and sum(map(len, prefix.values())) < sum(map(len, whole.values())) / 3
+
+
+def broadcast_parts(df):
+    """The part of the plan below each of its broadcasts, as it stands before anything has run."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(re.match(r"[\s:+\-*]*", line)[0])
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((n for n in range(k + 1, len(lines)) if depth(lines[n]) <= depth(line)), len(lines))
+            out.append("\n".join(lines[k:below]))
+    return out
+
+
+def test_probes_are_not_broadcast(spark):
+    """34 probes a fingerprint, which Catalyst takes for as many rows as there are fingerprints: 10 million of them filled the driver."""
+    prints = shared.stored(spark.range(300_000).select(F.xxhash64("id").alias("fingerprint")))
+    plan = simhash.linked(prints)
+    assert "Generate" in plan._jdf.queryExecution().executedPlan().toString()
+    assert not any("Generate" in part for part in broadcast_parts(plan))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import frugal, load, stored
+from lodestar.llm.shared import frugal, load, merged, stored
 
 #: Bits of the filter that is sent to the executors: 2 MB, whatever the size of the benchmark.
 FILTER_BITS = 24
@@ -183,7 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
     rank = F.row_number().over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "shingle"))
     item = item.withColumn("code", rank).withColumn("lead", F.col("n") - F.col("need") + 1).drop("n_docs", "n")
 
-    hits = seen.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.at", "hit.width", "hit.shingle")
+    hits = merged(seen.select("row", "n_words", F.explode("hits").alias("hit")).select("row", "n_words", "hit.at", "hit.width", "hit.shingle"))
     long_enough = F.col("n_words") >= F.col("width") + F.col("need") - 1
     if containment is None:
         # Every window is in the prefix and each one found is a match by itself.
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = 8, containment:
     per = match.groupBy("row").agg(F.collect_set(F.struct("at", "width")).alias("spans"), F.sort_array(F.collect_set("name")).alias("items"), F.lit(True).alias("held"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1))))
     per = per.select("row", "items", "held", F.array_sort("spans").alias("spans"), F.size(covered).cast("long").alias("n_hit"))
-    out = seen.select("row", "doc_id", "n_words").join(per, "row", "left")
+    out = seen.select("row", "doc_id", "n_words").join(merged(per), "row", "left")
     return out.select(
         "doc_id",
         "n_words",

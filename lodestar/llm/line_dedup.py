@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import minhash
 from lodestar.llm import textkernel as tk
 from lodestar.llm.minhash import connected
-from lodestar.llm.shared import frugal, load, scratch, shuffle_partitions, stored
+from lodestar.llm.shared import frugal, load, merged, scratch, shuffle_partitions, stored
 
 SIMILARITY = 0.8
 #: Lines are candidates if they share one of BANDS bands of ROWS min-hashes of their pairs of words, each with its place in stretches of STRETCH words.
@@ -388,11 +388,11 @@ def _cut(docs: DataFrame, similarity: float) -> DataFrame:
     distinct = stored(lines.groupBy("key", "near").agg(F.min(F.struct("doc", "print", "line")).alias("first")))
     forms = stored(line_texts(docs, distinct.where("near")))
     roots = connected(links, forms, EditSimilar(similarity)).withColumnRenamed("node", "key")
-    groups = stored(distinct.join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
+    groups = stored(distinct.join(merged(roots), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
     # Written, so that the join is one of two shuffled sides, of which a hot root's can be split.
     kept = stored(groups.groupBy("root").agg(F.min("first").alias("kept")))
-    stay = groups.join(kept, "root").select("key", "kept")
-    cut = lines.join(stay, "key").where("struct(doc, print, line) <> kept")
+    stay = groups.join(merged(kept), "root").select("key", "kept")
+    cut = lines.join(merged(stay), "key").where("struct(doc, print, line) <> kept")
     return cut.groupBy("doc", "print").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import textkernel as tk
-from lodestar.llm.shared import components, frugal, shuffle_partitions, stored
+from lodestar.llm.shared import components, frugal, merged, shuffle_partitions, stored
 
 #: Rows of one part of a block; a task compares two parts at a time.
 TILE = 256
@@ -135,8 +135,8 @@ def _pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _alike(pairs: DataFrame, forms: DataFrame, same: Same) -> DataFrame:
     """Those of the pairs (a, b) whose forms are alike."""
-    right = pairs.join(forms.toDF("b", "right"), "b")
-    both = right.join(forms.toDF("a", "left"), "a").select("a", "b", "left", "right")
+    right = pairs.join(merged(forms.toDF("b", "right")), "b")
+    both = right.join(merged(forms.toDF("a", "left")), "a").select("a", "b", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,12 +226,12 @@ def connected(links: DataFrame, forms: DataFrame | Callable[[DataFrame], DataFra
     able = pairs if shapes is None else stored(_alike(pairs, shapes, may))
     good = stored(_alike(able, of(able.select(F.explode(F.array("a", "b")).alias("key"))), same))
     roots = stored(components(good))
-    top = lambda c: roots.toDF(c, f"root_{c}")
+    top = lambda c: merged(roots.toDF(c, f"root_{c}"))
     apart = pairs.join(top("a"), "a", "left").join(top("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)")
     ties = links.select("block", *pair)
     # Blocks in which a link failed; the two members of a block of two were a pair already.
-    open_ = ties.join(apart.select("a", "b"), ["a", "b"], "left_semi").select("block").distinct()
-    ties = stored(ties.join(open_, "block", "left_semi"))
+    open_ = ties.join(merged(apart.select("a", "b")), ["a", "b"], "left_semi").select("block").distinct()
+    ties = stored(ties.join(merged(open_), "block", "left_semi"))
     members = ties.select("block", F.explode(F.array("a", "b")).alias("key")).distinct()
     large = members.groupBy("block").agg(F.count("*").alias("n")).where("n > 2").select("block")
     members = stored(members.join(stored(large), "block"))

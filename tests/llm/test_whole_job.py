@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestar.llm import line_dedup, minhash, shared, simhash, toxicity
+from lodestar.llm import decontaminate, line_dedup, minhash, shared, simhash, toxicity
 from lodestar.llm import textkernel as tk
 from lodestar.llm.shared import components
 
@@ -189,3 +189,13 @@ def test_probes_are_not_broadcast(spark):
     plan = simhash.linked(prints)
     assert "Generate" in plan._jdf.queryExecution().executedPlan().toString()
     assert not any("Generate" in part for part in broadcast_parts(plan))
+
+
+def test_hits_are_not_broadcast(spark):
+    """The windows found in the documents, an explode too, beside the items' own, of which Catalyst doesn't know how few they are."""
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("one two three four five six seven eight nine").alias("text"))
+    items = spark.range(2_000).select(F.col("id").cast("string").alias("item_id"), F.concat(F.lit("one two three four five six seven eight n"), "id").alias("text"))
+    for containment in (None, 0.25):
+        parts = broadcast_parts(decontaminate.contaminated(docs, items, containment=containment))
+        # Whole windows; the count of each is bounded by the items'.
+        assert not any(re.search(r"Generate explode\(hits", part) for part in parts)

@@ -55,8 +55,9 @@ class Histogram:
         return bucket // -(-len(self.lows) // bits) + offset
 
     def bit_column(self, column: str, bits: int, offset: int) -> Column:
-        wide = -(-len(self.lows) // bits)
-        return F.floor(self.bucket_column(column) / wide).cast("int") + offset
+        """bit() of a value's bucket: only the buckets that begin a bit are compared with."""
+        wide = max(1, -(-len(self.lows) // bits))
+        return reduce(lambda a, b: a + b, ((F.col(column) >= F.lit(low)).cast("int") for low in self.lows[wide::wide]), F.lit(0)) + offset
 
     def covered(self, low: Any, high: Any) -> float:
         """The share of rows in buckets that [low, high] reaches, whole buckets at a time."""

@@ -15,6 +15,8 @@ from lodestar.plans import advisors, artefacts, estimate, runner, star
 from lodestar.plans.workload import Query, Workload
 
 MODES = ("default", "view", "index", "summary")
+#: Rows of a table from which a join with the central one is by hashing what is shuffled; fewer may be broadcast.
+LARGE = 500_000
 
 
 @dataclass
@@ -64,10 +66,16 @@ def advise(workload: Workload, queries: Mapping[str, Query], frames: Mapping[str
 
 def build(spark: SparkSession, workload: Workload, frames: Mapping[str, DataFrame], advice: Advice, stats: runner.Statistics, buckets: int = 16) -> tuple[dict, dict, dict, list[ks.Summary], dict[str, str]]:
     """(views, tables in buckets of their keys, tables with summaries, the summaries, their sources' versions), each built once."""
+    # Each key is in them once, so what a task hashes is its share of the keys, and the central table needs no sorting.
+    large = lambda t: stats.rows[t] > LARGE
+    hints = {t.name: "shuffle_hash" for t in workload.tables.values() if large(t.name) and t.name != workload.central and t.links and t.primary == (t.links[0],)}
     views = {}
-    for v in advice.views:
-        path = artefacts.built(spark, f"view-{workload.title}-{'-'.join(v)}", [frames[t] for t in (workload.central, *v)], lambda to, v=v: star.build_view(workload, v, frames, to))
+    for v in sorted(advice.views, key=len):
+        held = max((w for w in views if set(w) < set(v)), key=lambda w: sum(stats.rows[t] for t in w), default=None)
+        base = (held, views[held]) if held else None
+        path = artefacts.built(spark, f"view-{workload.title}-{'-'.join(v)}", [frames[t] for t in (workload.central, *v)], lambda to, v=v, base=base: star.build_view(workload, v, frames, to, base, hints))
         views[v] = spark.read.parquet(path)
+    views = {v: views[v] for v in advice.views}
     keyed = {t: artefacts.keyed(frames[t], workload.tables[t].links[0], f"{workload.title}-{t}", buckets) for t in advice.layouts}
     versions = {t: artefacts.version(frames[t]) for t in {b[0] for b in advice.bits}}
     with_bits, summaries = {}, []
@@ -81,7 +89,8 @@ def build(spark: SparkSession, workload: Workload, frames: Mapping[str, DataFram
                 other = summary.source if target == workload.central else target
                 key, central_key = workload.tables[other].links
                 source_key, target_key = (key, central_key) if target == workload.central else (central_key, key)
-                rows = ks.attach(rows, target_key, ks.build(frames[summary.source], source_key, summary))
+                bits = ks.build(frames[summary.source], source_key, summary)
+                rows = ks.attach(rows, target_key, bits.hint("shuffle_hash") if large(summary.source) else bits)
             artefacts.store_summaries(rows, made, path)
 
         name = f"summaries-{workload.title}-{target}-{'-'.join(f'{s}.{c}.{n}' for s, c, _, n, _ in own)}"

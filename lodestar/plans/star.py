@@ -61,12 +61,18 @@ def join_orders(workload: Workload, query: Query) -> list[list[str]]:
     return [[*a, *b] for a in permutations(one) for b in permutations(many)]
 
 
-def build_view(workload: Workload, tables: Sequence[str], frames: Mapping[str, DataFrame], path: str) -> DataFrame:
-    """Materialises the join of the central table with `tables`, all columns as table__column, as Parquet."""
+def build_view(workload: Workload, tables: Sequence[str], frames: Mapping[str, DataFrame], path: str, base: tuple[Sequence[str], DataFrame] | None = None, hints: Mapping[str, str] | None = None) -> DataFrame:
+    """Materialises the join of the central table with `tables`, all columns as table__column, as Parquet.
+
+    base: a view of some of the tables, and which; only the others are joined then.
+    """
     every = lambda t: frames[t].select(*[F.col(c).alias(f"{t}__{c}") for c in frames[t].columns])
-    df = every(workload.central)
+    held, df = base or ((), every(workload.central))
     for t in tables:
-        df = df.join(every(t), link(workload, t), "inner")
+        if t not in held:
+            part = every(t).hint(hints[t]) if hints and t in hints else every(t)
+            df = df.join(part, link(workload, t), "inner")
+    df = df.select(*[f"{t}__{c}" for t in (workload.central, *tables) for c in frames[t].columns])
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
